@@ -8,22 +8,24 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from panelwright.functions.folds import stop_switches
 from panelwright.functions.numbers import annualised, clip_unit, ratio
 
-BY_SCENARIO = Window.partitionBy("scenario_id").orderBy("pos")
+def by_scenario() -> WindowSpec:
+    return Window.partitionBy("scenario_id").orderBy("pos")
 
 
 def breadth_gate(breadth: Column, threshold: Column) -> Column:
     """1 when the previous date's breadth reaches the threshold, else 0; always 1 without one."""
-    passed = F.coalesce(F.lag(breadth).over(BY_SCENARIO) >= threshold, F.lit(False))
+    passed = F.coalesce(F.lag(breadth).over(by_scenario()) >= threshold, F.lit(False))
     return F.when((threshold <= 0) | passed, F.lit(1.0)).otherwise(F.lit(0.0))
 
 
 def vol_scale(gross: Column, target: Column, window: int = 60, minimum: int = 20) -> Column:
     """Target over realised volatility up to the previous date, clipped to [0, 1]."""
-    frame = BY_SCENARIO.rowsBetween(-(window - 1), Window.currentRow)
+    frame = by_scenario().rowsBetween(-(window - 1), Window.currentRow)
     realised = F.when(
         F.count(gross).over(frame) >= minimum, annualised(F.stddev_samp(gross).over(frame))
     )
@@ -31,36 +33,48 @@ def vol_scale(gross: Column, target: Column, window: int = 60, minimum: int = 20
 
 
 def lagged_scale(scale: Column, target: Column) -> Column:
-    applied = F.coalesce(clip_unit(F.lag(scale).over(BY_SCENARIO)), F.lit(1.0))
+    applied = F.coalesce(clip_unit(F.lag(scale).over(by_scenario())), F.lit(1.0))
     return F.when(target > 0, applied).otherwise(F.lit(1.0))
 
 
 def drawdown_stop(rows: DataFrame, gross: str, reentry: str = "breadth") -> DataFrame:
-    """Add ``stopped`` for rows with ``stop_drawdown`` and ``stop_reentry_breadth``.
+    """Add ``stopped`` to rows with ``stop_drawdown`` and ``stop_reentry_breadth``.
 
     ``reentry`` is the breadth that a stopped portfolio must see to resume, the same date's by
-    default. Each scenario's series is folded on its own; only the switch days come out of the
-    fold, and they are carried forward over the calendar again.
+    default. Each scenario's series, one entry per calendar date, is folded on its own and
+    spread out again in the same task.
     """
-    day = F.struct("pos", F.col(gross).alias("gross"), F.col(reentry).alias("breadth"))
-    switches = (
-        rows.where("stop_drawdown > 0")
-        .groupBy("scenario_id")
+    columns = [name for name in rows.columns if name not in ("scenario_id", "pos")]
+    folded = (
+        rows.groupBy("scenario_id")
         .agg(
-            F.sort_array(F.collect_list(day)).alias("series"),
-            F.first("stop_drawdown").alias("stop_drawdown"),
+            F.sort_array(F.collect_list(F.struct("pos", *columns))).alias("series"),
+            F.first("stop_drawdown").alias("limit"),
             F.first("stop_reentry_breadth").alias("reentry"),
         )
-        .select(
-            "scenario_id",
-            F.inline(
-                stop_switches(F.col("series"), F.col("stop_drawdown"), F.col("reentry"))
+        .withColumn(
+            "switches",
+            F.when(
+                F.col("limit") > 0,
+                stop_switches(
+                    F.transform(
+                        "series",
+                        lambda day: F.struct(
+                            day["pos"].alias("pos"),
+                            day[gross].alias("gross"),
+                            day[reentry].alias("breadth"),
+                        ),
+                    ),
+                    F.col("limit"),
+                    F.col("reentry"),
+                ),
             ),
         )
     )
-    carried = F.last("stopped", ignorenulls=True).over(
-        BY_SCENARIO.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    return rows.join(switches, ["scenario_id", "pos"], "left").withColumn(
-        "stopped", F.coalesce(carried, F.lit(False))
+    latest = F.aggregate(
+        "switches",
+        F.lit(False),
+        lambda state, s: F.when(s["pos"] <= F.col("pos"), s["stopped"]).otherwise(state),
     )
+    spread = folded.select("scenario_id", "switches", F.inline("series"))
+    return spread.withColumn("stopped", F.coalesce(latest, F.lit(False))).drop("switches")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelwright.functions.numbers import annualised, ratio
-from panelwright.operators.overlays import BY_SCENARIO
+from panelwright.operators.overlays import by_scenario
 
 DAYS_PER_YEAR = 365.25
 BASIS_POINTS = 10_000.0
@@ -75,7 +75,7 @@ def switch_legs(targets: DataFrame, rebalances: DataFrame) -> DataFrame:
 
 def turnover(legs: Column, invested_now: Column, multiplier: Column) -> Column:
     """Sum of absolute weight changes against the previous slot; 0 on the first slot."""
-    before = F.lag(multiplier).over(BY_SCENARIO)
+    before = F.lag(multiplier).over(by_scenario())
     switched = F.aggregate(
         legs,
         F.lit(0.0),
@@ -86,12 +86,12 @@ def turnover(legs: Column, invested_now: Column, multiplier: Column) -> Column:
 
 
 def cumulative_nav(net: Column) -> Column:
-    running = BY_SCENARIO.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = by_scenario().rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return F.product(1.0 + net).over(running)
 
 
 def drawdown(nav: Column) -> Column:
-    running = BY_SCENARIO.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = by_scenario().rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return ratio(nav, F.max(nav).over(running)) - 1.0
 
 

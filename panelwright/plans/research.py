@@ -443,11 +443,11 @@ def scenario_axis(
     if spec.reentry_lag:
         rows = rows.withColumn(
             "reentry_breadth",
-            F.lag("breadth", spec.reentry_lag).over(overlays.BY_SCENARIO),
+            F.lag("breadth", spec.reentry_lag).over(overlays.by_scenario()),
         )
         reentry = "reentry_breadth"
     scaled = rows.withColumn("scaled", F.col("multiplier") * F.col("unit_gross"))
-    stopped = overlays.drawdown_stop(pin(scaled, "scaled"), "scaled", reentry)
+    stopped = overlays.drawdown_stop(scaled, "scaled", reentry)
     return stopped.withColumn(
         "multiplier", F.when(F.col("stopped"), F.lit(0.0)).otherwise(F.col("multiplier"))
     )
