@@ -117,14 +117,19 @@ def research_signals(
 ) -> DataFrame:
     """Signals per existing (symbol, date) row of (symbol, date, close, amount).
 
-    One shuffle and one sort by (symbol, pos) serve every window. A trend without a full window
-    is false here, not NULL.
+    One shuffle by symbol serves every window. A trend without a full window is false here, not
+    NULL. What only signal dates use is NULL on other dates, which keeps the table small.
     """
     close = F.col("close")
     rows = attach_slots(prices, calendar, "is_rebalance", "active_signal_pos").join(
         classes.select("symbol", "asset_class"), "symbol", "left"
     )
-    measured = rows.select(
+    averages = {f"average_{window}": window for window in trend_windows}
+    averaged = rolling.with_moving_averages(rows, "close", averages)
+    liquid = rolling.with_moving_median(
+        averaged, "amount", "liquidity", spec.liquidity_window, F.col("is_rebalance")
+    )
+    measured = liquid.select(
         "symbol",
         "date",
         "pos",
@@ -138,16 +143,17 @@ def research_signals(
             for window, _ in spec.momentum
         ],
         *[
-            F.coalesce(close > rolling.moving_average(close, window), F.lit(False)).alias(
-                _trend_name(window)
-            )
-            for window in trend_windows
+            F.coalesce(close > F.col(name), F.lit(False)).alias(_trend_name(window))
+            for name, window in averages.items()
         ],
-        rolling.moving_median(F.col("amount"), spec.liquidity_window).alias("liquidity"),
+        "liquidity",
         rolling.history_count(close).alias("history"),
         rolling.stale_days(close, F.col("date")).alias("stale_days"),
     )
     with_vol = measured.withColumn("vol", rolling.volatility(F.col("ret"), spec.vol_window))
+    def on_signal(column: Column, name: str) -> Column:
+        return F.when(F.col("is_rebalance"), column).alias(name)
+
     return with_vol.select(
         "symbol",
         "date",
@@ -155,17 +161,15 @@ def research_signals(
         "is_rebalance",
         "active_signal_pos",
         "asset_class",
-        close.isNotNull().alias("priced"),
         "ret",
-        "vol",
+        *[_trend_name(window) for window in trend_windows],
+        on_signal(close.isNotNull(), "priced"),
+        on_signal(F.col("vol"), "vol"),
         *[
-            ratio(F.col(f"momentum_{window}"), F.col("vol")).alias(_ratio_name(window))
+            on_signal(ratio(F.col(f"momentum_{window}"), F.col("vol")), _ratio_name(window))
             for window, _ in spec.momentum
         ],
-        *[_trend_name(window) for window in trend_windows],
-        "liquidity",
-        "history",
-        "stale_days",
+        *[on_signal(F.col(name), name) for name in ("liquidity", "history", "stale_days")],
     )
 
 

@@ -43,7 +43,8 @@ def rotation_signals(
     """Score and trend per existing (symbol, date) row; both NULL before their windows fill."""
     close = F.col("close")
     rows = attach_slots(prices, calendar, "is_rebalance", "next_date", "active_signal_pos")
-    measured = rows.select(
+    averaged = rolling.with_moving_averages(rows, "close", {"average": config.trend_window})
+    measured = averaged.select(
         "symbol",
         "date",
         "pos",
@@ -53,7 +54,7 @@ def rotation_signals(
         "close",
         rolling.simple_return(close).alias("ret"),
         rolling.simple_return(close, config.momentum_window).alias("momentum"),
-        (close > rolling.moving_average(close, config.trend_window)).alias("trend"),
+        (close > F.col("average")).alias("trend"),
     )
     scored = measured.withColumn(
         "vol", rolling.volatility(F.col("ret"), config.volatility_window)

@@ -336,28 +336,18 @@ def rolling_vol(spark, sf_dir):
 
 @query
 def trend_ma(spark, sf_dir):
-    bars = _with_slots(adapters.type_bars(spark, sf_dir))
-    close = F.col("close")
-    return bars.select(
-        "symbol",
-        "date",
-        fixed(rolling.moving_average(close, 10)).alias("ma_10"),
-        fixed(rolling.moving_average(close, 60)).alias("ma_60"),
-        (close > rolling.moving_average(close, 10)).alias("trend"),
-    )
+    bars = _with_slots(adapters.type_bars(spark, sf_dir)).select("symbol", "date", "pos", "close")
+    averaged = rolling.with_moving_averages(bars, "close", {"ma_10": 10, "ma_60": 60})
+    trend = averaged.withColumn("trend", F.col("close") > F.col("ma_10"))
+    return _fixed_columns(trend.drop("pos", "close"), "ma_10", "ma_60")
 
 
 @query
 def rolling_median_amount(spark, sf_dir):
-    bars = _with_slots(adapters.type_bars(spark, sf_dir))
-    return bars.select(
-        "symbol",
-        "date",
-        *[
-            fixed(rolling.moving_median(F.col("amount"), n)).alias(f"median_{n}")
-            for n in (5, 60)
-        ],
-    )
+    bars = _with_slots(adapters.type_bars(spark, sf_dir)).select("symbol", "date", "pos", "amount")
+    for size in (5, 60):
+        bars = rolling.with_moving_median(bars, "amount", f"median_{size}", size)
+    return _fixed_columns(bars.drop("pos", "amount"), "median_5", "median_60")
 
 
 @query
