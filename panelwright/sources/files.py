@@ -14,14 +14,17 @@ FIRST_FACTOR_DATE = "1900-01-01"
 
 
 def file_order() -> Column:
-    """Position of a row within its text file.
+    """Position of a row within its text file, as one number.
 
-    Splits of one file start at growing offsets and ids grow within a split, so the pair
-    restores file order. It must be taken right at the scan, before any shuffle.
+    Splits of one file start at growing offsets, and ids grow within a split. The offset fills
+    the high digits and the row part of the id (its low 33 bits) the low ones. It must be taken
+    right at the scan, before any shuffle.
     """
-    return F.struct(
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("row"),
+    rows_per_split = 1 << 33
+    start = F.col("_metadata.file_block_start").cast("decimal(19,0)")
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit(rows_per_split - 1))
+    return (start * F.lit(rows_per_split).cast("decimal(10,0)") + row.cast("decimal(10,0)")).cast(
+        "decimal(38,0)"
     )
 
 

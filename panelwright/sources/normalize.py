@@ -99,8 +99,8 @@ def keep_first(
     rows: DataFrame, keys: Sequence[str], values: Sequence[str], order: str
 ) -> DataFrame:
     """First row per key. An aggregate, so copies of a key are merged before the shuffle."""
-    kept = rows.groupBy(*keys).agg(F.min_by(F.struct(*values), F.col(order)).alias("kept"))
-    return kept.select(*keys, *[F.col(f"kept.{value}").alias(value) for value in values])
+    kept = [F.min_by(value, order).alias(value) for value in values]
+    return rows.groupBy(*keys).agg(*kept)
 
 
 def normalize_catalog(frame: DataFrame) -> DataFrame:

@@ -70,6 +70,13 @@ def brand_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def type_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    types = table(spark, sf_dir, "part").select(F.col("p_type").alias("symbol")).distinct()
+    return types.withColumn(
+        "asset_class", asset_class(F.col("symbol"), settings.TYPE_RULES, settings.DEFAULT_CLASS)
+    )
+
+
 def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as raw supplier bars: repeated dates, missing and zero values included."""
     unit = F.col("l_extendedprice") / F.col("l_quantity")
@@ -87,19 +94,16 @@ def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         .alias("close"),
         F.when(F.col("l_discount") > 0.005, F.col("l_quantity")).alias("volume"),
         F.when(F.col("l_tax") > 0.005, F.col("l_extendedprice")).alias("amount"),
-        F.struct(
-            "l_orderkey",
-            "l_linenumber",
-            "l_partkey",
-            "l_extendedprice",
-            "l_quantity",
-            "l_discount",
-            "l_tax",
-            "l_returnflag",
-        ).alias("ingest_seq"),
+        _line_order().alias("ingest_seq"),
     )
 
 
+def _line_order() -> Column:
+    """Order, line and part number side by side in one decimal."""
+    line = (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("decimal(20,0)")
+    return (line * F.lit(10**11).cast("decimal(12,0)") + F.col("l_partkey")).cast("decimal(38,0)")
+
+
 def supplier_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select(padded_symbol(F.col("s_suppkey")).alias("symbol"))
 

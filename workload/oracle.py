@@ -73,33 +73,10 @@ RAW_LINES = (
                 ELSE l_extendedprice / l_quantity END AS close,
            CASE WHEN l_discount > 0.005 THEN l_quantity END AS volume,
            CASE WHEN l_tax > 0.005 THEN l_extendedprice END AS amount,
-           {{seq}}
-    FROM lineitem""".replace(
-        "{seq}",
-        ", ".join(
-            [
-                "l_orderkey",
-                "l_linenumber",
-                "l_partkey",
-                "l_extendedprice",
-                "l_quantity",
-                "l_discount",
-                "l_tax",
-                "l_returnflag",
-            ]
-        ),
-    ),
-)
-SEQ = (
-    "l_orderkey",
-    "l_linenumber",
-    "l_partkey",
-    "l_extendedprice",
-    "l_quantity",
-    "l_discount",
-    "l_tax",
-    "l_returnflag",
+           l_orderkey, l_linenumber, l_partkey
+    FROM lineitem""",
 )
+SEQ = ("l_orderkey", "l_linenumber", "l_partkey")
 
 
 def kept(direction: str) -> str:
@@ -1032,14 +1009,33 @@ SQL["nav_drawdown"] = with_ctes(
     f"SELECT scenario_id, date, {fixed('drawdown')} AS drawdown FROM drawdowns",
 )
 SQL["summary_metrics"] = with_ctes([*RESEARCH, *SUMMARY], METRICS)
+ADJUSTED_BARS = [
+    ("raw_bars", TYPE_BARS[1]),
+    FACTORS,
+    ("adjusted", ADJUSTED[1].replace("FROM bars b", "FROM raw_bars b")),
+    ("bars", "SELECT symbol, date, total_return_proxy AS close, amount FROM adjusted"),
+]
+TYPE_CLASSES = f"""
+    SELECT DISTINCT p_type AS symbol,
+           {class_case("p_type", settings.TYPE_RULES, settings.DEFAULT_CLASS)} AS asset_class
+    FROM part"""
+SQL["core_strategy"] = " UNION ALL ".join(
+    "SELECT * FROM ("
+    + with_ctes(
+        research_ctes(
+            bars,
+            TYPE_CLASSES,
+            tuple(s for s in settings.CORE_SCENARIOS if s.price_mode == mode),
+            SignalSpec(),
+        ),
+        DAILY,
+    )
+    + ")"
+    for mode, bars in (("total-return", ADJUSTED_BARS), ("raw", [TYPE_BARS]))
+)
 SQL["total_return_research"] = with_ctes(
     research_ctes(
-        [
-            ("raw_bars", TYPE_BARS[1]),
-            FACTORS,
-            ("adjusted", ADJUSTED[1].replace("FROM bars b", "FROM raw_bars b")),
-            ("bars", "SELECT symbol, date, total_return_proxy AS close, amount FROM adjusted"),
-        ],
+        ADJUSTED_BARS,
         "SELECT DISTINCT p_type AS symbol, p_type AS asset_class FROM part",
         settings.ADJUSTED_SCENARIOS,
         settings.SPEC,

@@ -587,3 +587,18 @@ def total_return_research(spark, sf_dir):
     classes = classes.distinct().withColumn("asset_class", F.col("symbol"))
     run = research.run_research(prices, classes, settings.ADJUSTED_SCENARIOS, settings.SPEC)
     return _daily(run.daily)
+
+
+@query
+def core_strategy(spark, sf_dir):
+    """The main report's parameters on raw and adjusted prices in one run."""
+    bars = pin(adapters.type_bars(spark, sf_dir), "bars")
+    adjusted = adjusted_prices(bars, adapters.type_factors(spark, sf_dir), ["amount"])
+    adjusted = pin(adjusted, "adjusted")
+    prices = {
+        mode: scan_research(bars, adjusted, mode) for mode in ("raw", "total-return")
+    }
+    run = research.run_research(
+        prices, adapters.type_classes(spark, sf_dir), settings.CORE_SCENARIOS
+    )
+    return _daily(run.daily)

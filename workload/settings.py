@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from panelwright.plans.research import Scenario, SignalSpec
+from dataclasses import replace
+
+from panelwright.plans.research import CORE, Scenario, SignalSpec
 from panelwright.plans.rotation import RotationConfig
 
 # Sub-micro shift that keeps short decimal fractions off the rounding boundary.
@@ -71,6 +73,7 @@ BRAND_RULES = (
     ("overseas", ("brand#10", "brand#11", "brand#12", "brand#13")),
     ("equity_dividend", ("brand#1",)),
 )
+TYPE_RULES = (("cash", ("promo",)), ("bond", ("standard",)), ("commodity", ("economy",)))
 PART_RULES = (
     ("cash", ("blue", "green")),
     ("bond", ("ring",)),
@@ -107,3 +110,18 @@ ADJUSTED_SCENARIOS = (
         target_vol=0.08,
     ),
 )
+
+# The main report's parameters on both price modes, with the default signal windows.
+CORE_SCENARIOS = (
+    replace(CORE, min_median_amount_60d=100_000.0),
+    replace(
+        CORE,
+        scenario_id="core_raw",
+        price_mode="raw",
+        trend_window=120,
+        min_median_amount_60d=100_000.0,
+        breadth_threshold=0.05,
+        stop_drawdown=0.02,
+        stop_reentry_breadth=0.2,
+    ),
+)
