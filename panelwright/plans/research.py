@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from panelwright.functions.classify import CASH, DEFENSIVE_CLASSES, UNKNOWN_CLASS
 from panelwright.functions.folds import capped_inverse_vol
-from panelwright.functions.numbers import ratio
+from panelwright.functions.numbers import finite, ratio
 from panelwright.operators import cross_section, overlays, performance, rolling
 from panelwright.operators.calendar import rebalance_dates, slot_calendar
 from panelwright.operators.panel import attach_slots
@@ -464,6 +464,12 @@ def _run_mode(
     spec: SignalSpec,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     spark = prices.sparkSession
+    prices = prices.select(
+        "symbol",
+        "date",
+        finite(F.col("close")).alias("close"),
+        finite(F.col("amount")).alias("amount"),
+    )
     trend_windows = sorted({s.trend_window for s in scenarios})
     tables = scenario_tables(spark, scenarios)
     calendar = pin(slot_calendar(prices), "calendar")

@@ -9,12 +9,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelwright.functions.folds import equal_weights
-from panelwright.functions.numbers import ratio
+from panelwright.functions.numbers import finite, ratio
 from panelwright.operators import performance, rolling
 from panelwright.operators.calendar import rebalance_dates, slot_calendar
 from panelwright.operators.panel import attach_slots
 from panelwright.operators.selection import top_n, with_fallback
 from panelwright.scratch import pin
+from panelwright.sources import sinks
 
 SCENARIO = "baseline"
 TARGET = 0
@@ -90,8 +91,10 @@ def run_rotation(
     known = prices.where(F.col("symbol") == defensive).limit(1)
     if known.isEmpty():
         raise ValueError(f"defensive asset {defensive!r} is not in the prices")
-    priced = prices.where(F.col("close").isNotNull()).select("symbol", "date", "close")
-    calendar = pin(slot_calendar(priced), "calendar")
+    closes = prices.select("symbol", "date", finite(F.col("close")).alias("close"))
+    priced = closes.where(F.col("close").isNotNull())
+    labels = {"scenario_id": F.lit(SCENARIO), "target_id": F.lit(TARGET)}
+    calendar = pin(slot_calendar(priced).withColumns(labels), "calendar")
     signals = pin(
         rotation_signals(priced, calendar, config).select(
             "symbol",
@@ -106,20 +109,19 @@ def run_rotation(
         ),
         "signals",
     )
-    ordered = pin(weekly_orders(signals, calendar, defensive, config.top_n), "orders")
+    ordered = pin(
+        weekly_orders(signals, calendar, defensive, config.top_n).withColumns(labels), "orders"
+    )
     targets = pin(
-        ordered.select(
-            F.lit(TARGET).alias("target_id"), "signal_pos", F.inline(equal_weights(F.col("names")))
-        ),
+        ordered.select("target_id", "signal_pos", F.inline(equal_weights(F.col("names")))),
         "targets",
     )
     gross = performance.unit_gross(targets, signals)
     axis = (
-        calendar.select("pos", "date", "active_signal_pos")
-        .withColumn("target_id", F.lit(TARGET))
+        calendar.select("scenario_id", "target_id", "pos", "date", "active_signal_pos")
         .join(gross, ["target_id", "pos"], "left")
         .select(
-            F.lit(SCENARIO).alias("scenario_id"),
+            "scenario_id",
             "target_id",
             "pos",
             "date",
@@ -135,7 +137,7 @@ def run_rotation(
         performance.invested(targets),
     )
     orders = ordered.select(
-        F.lit(SCENARIO).alias("scenario_id"),
+        "scenario_id",
         "signal_date",
         "execution_date",
         F.transform("names", lambda n: n["symbol"]).alias("selected"),
@@ -147,3 +149,12 @@ def run_rotation(
         performance.daily_weights(targets, calendar),
         performance.summarize(daily, orders),
     )
+
+
+def rotation_report(
+    prices: DataFrame, defensive: str, output: str, config: RotationConfig = RotationConfig()
+) -> RotationResult:
+    """Run the rotation and write its daily series, orders and summary."""
+    result = run_rotation(prices, defensive, config)
+    sinks.write_run(result.daily.drop("pos"), result.orders, result.summary, output)
+    return result

@@ -128,20 +128,21 @@ def shape_catalog(catalog: DataFrame) -> DataFrame:
 
 
 def read_quality(spark: SparkSession, path: str) -> DataFrame:
-    """Quality table from parquet or CSV; unparseable dates become NULL."""
-    if path.rstrip("/").endswith(".csv"):
-        text = spark.read.option("header", True).csv(path)
-        casts = {"last_date": to_day, "first_date": to_day}
-        fields = [field.split() for field in schemas.QUALITY.split(",")]
-        return text.select(
-            *[
-                casts.get(name, lambda c, t=kind: c.try_cast(t))(F.col(name)).alias(name)
-                for name, kind in fields
-            ]
-        )
     return spark.read.schema(schemas.QUALITY).parquet(path)
 
 
+def read_quality_report(spark: SparkSession, path: str) -> DataFrame:
+    """Quality table from its CSV report; unparseable dates and numbers become NULL."""
+    kinds = dict(field.split() for field in schemas.QUALITY.split(","))
+    text = spark.read.option("header", True).csv(path)
+    return text.select(
+        *[
+            (to_day(F.col(name)) if kind == "date" else F.col(name).try_cast(kind)).alias(name)
+            for name, kind in kinds.items()
+        ]
+    )
+
+
 UNIVERSE_REQUIRED = ("asset", "signal_symbol", "signal_name", "defensive")
 
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,6 +40,18 @@ def unpivot_prices(wide: DataFrame, assets: Sequence[str], value: str = "close")
     return wide.unpivot(["date"], [F.col(f"`{name}`") for name in assets], "symbol", value)
 
 
+def combine_series(series: Mapping[str, DataFrame], value: str = "close") -> DataFrame:
+    """Long (date, symbol, close) rows of single-asset (date, value) tables, keyed by asset.
+
+    No join by date is needed: the shared calendar comes from the rows' own dates.
+    """
+    parts = [
+        rows.select("date", F.lit(symbol).alias("symbol"), F.col(value).alias("close"))
+        for symbol, rows in series.items()
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def pivot_prices(prices: DataFrame, symbols: Sequence[str], value: str = "close") -> DataFrame:
     """Wide table with one column per listed symbol, for export."""
     return prices.groupBy("date").pivot("symbol", list(symbols)).agg(F.first(value))

@@ -39,7 +39,7 @@ def built(spark):
         # A: duplicates, NULL dates, NULL and non-positive closes
         row("A", D(2024, 1, 1), 10.0, seq=1),
         row("A", D(2024, 1, 1), 11.0, seq=2),
-        row("A", D(2024, 1, 1), None, seq=3),
+        row("A", D(2024, 1, 1), float("nan"), seq=3),
         row("A", None, 5.0, seq=4),
         row("A", None, 6.0, seq=5),
         row("A", D(2024, 1, 2), 0.0, volume=None, amount=None, seq=6),

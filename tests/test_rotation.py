@@ -4,7 +4,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelwright.operators.calendar import slot_calendar
-from panelwright.plans.rotation import RotationConfig, rotation_signals, run_rotation
+from panelwright.plans.rotation import (
+    RotationConfig,
+    rotation_report,
+    rotation_signals,
+    run_rotation,
+)
 
 
 @pytest.fixture(scope="module")
@@ -68,6 +73,24 @@ def test_nav_matches_a_direct_recomputation(result, formula_prices):
         before = now
 
 
+def test_report_and_flat_fallback(formula_prices, tmp_path):
+    # Nothing rises above its average: the defensive asset is held at full weight.
+    falling = formula_prices.withColumn(
+        "close", F.when(F.col("symbol") == "BOND", 100.0).otherwise(1.0 + 1000.0 / F.col("close"))
+    ).where("symbol <> 'RISK2' AND date < '2020-06-01'")
+    spoiled = falling.unionByName(
+        falling.limit(1).selectExpr("'X' AS symbol", "date", "double('NaN') AS close")
+    )
+    config = RotationConfig(momentum_window=5, volatility_window=3, trend_window=4)
+    result = rotation_report(spoiled, "BOND", str(tmp_path), config)
+    assert {tuple(r.selected) for r in result.orders.collect()} == {("BOND",)}
+    assert {(r.symbol, r.weight) for r in result.weights.collect()} == {("BOND", 1.0)}
+    spark = formula_prices.sparkSession
+    assert spark.read.json(f"{tmp_path}/summary").first().total_return < 0
+    daily = spark.read.option("header", True).csv(f"{tmp_path}/daily")
+    assert daily.count() == falling.select("date").distinct().count()
+
+
 def test_unknown_defensive_asset_is_an_error(formula_prices):
     with pytest.raises(ValueError):
         run_rotation(formula_prices, "CASH")

@@ -46,6 +46,8 @@ def test_bar_files_to_tables(spark, folder, tmp_path):
     assert quality["999999"].rows_raw == 0 and quality["999999"].name == "999999"
     report = files.read_quality(spark, str(tmp_path / "quality"))
     assert report.count() == 3
+    again = files.read_quality_report(spark, str(tmp_path / "quality_report"))
+    assert again.exceptAll(report).count() == report.exceptAll(again).count() == 0
     assert spark.read.json(str(tmp_path / "quality_summary")).first().catalog_count == 3
 
 
@@ -116,6 +118,16 @@ def test_wide_prices_round_trip(spark, tmp_path):
     assert again.exceptAll(prices).count() == prices.exceptAll(again).count() == 0
 
 
+def test_single_series_combine_to_one_table(spark):
+    a = spark.createDataFrame([(D(2024, 1, 2), 1.0), (D(2024, 1, 3), 2.0)], "date date, nav double")
+    b = spark.createDataFrame([(D(2024, 1, 3), 5.0)], "date date, nav double")
+    wide_rows = wide.pivot_prices(wide.combine_series({"A": a, "B": b}, "nav"), ["A", "B"])
+    assert [tuple(r) for r in wide_rows.orderBy("date").collect()] == [
+        (D(2024, 1, 2), 1.0, None),
+        (D(2024, 1, 3), 2.0, 5.0),
+    ]
+
+
 def test_universe_config(spark, tmp_path):
     good = tmp_path / "u.csv"
     good.write_text(

@@ -268,8 +268,7 @@ def asof_events_hot(spark, sf_dir):
 
 @query
 def panel_dense(spark, sf_dir):
-    bars = adapters.brand_bars(spark, sf_dir)
-    dense = densify(bars, slot_calendar(bars))
+    dense = _dense(adapters.brand_bars(spark, sf_dir), "close", "amount")
     return _fixed_columns(dense, "close", "amount")
 
 
@@ -297,9 +296,15 @@ def panel_unpivot(spark, sf_dir):
 
 
 def _with_slots(bars: DataFrame) -> DataFrame:
+    bars = pin(bars, "bars")
     return attach_slots(bars, slot_calendar(bars))
 
 
+def _dense(bars: DataFrame, *values: str) -> DataFrame:
+    bars = pin(bars, "bars")
+    return densify(bars, pin(slot_calendar(bars), "calendar"), values)
+
+
 @query
 def returns_1(spark, sf_dir):
     bars = _with_slots(adapters.brand_bars(spark, sf_dir))
@@ -358,9 +363,7 @@ def history_count(spark, sf_dir):
 
 @query
 def staleness(spark, sf_dir):
-    bars = adapters.brand_bars(spark, sf_dir)
-    dense = densify(bars, slot_calendar(bars), ["close"])
-    return dense.select(
+    return _dense(adapters.brand_bars(spark, sf_dir), "close").select(
         "symbol",
         "date",
         rolling.last_seen(F.col("close"), F.col("date")).alias("last_seen"),
@@ -505,7 +508,7 @@ SUMMARY_DOUBLES = (
 
 @query
 def rotation_signals(spark, sf_dir):
-    bars = adapters.type_bars(spark, sf_dir)
+    bars = pin(adapters.type_bars(spark, sf_dir), "bars")
     signals = rotation.rotation_signals(bars, slot_calendar(bars), settings.ROTATION)
     return signals.select("symbol", "date", "trend", fixed("score").alias("score"))
 
