@@ -9,6 +9,7 @@ from pathlib import Path
 import duckdb
 from pyspark.sql import SparkSession
 
+from panelwright.scratch import release
 from panelwright.session import build_session
 from workload.oracle import SQL
 from workload.queries import QUERIES
@@ -67,6 +68,7 @@ def main(arguments: list[str]) -> int:
         print(f"{'FAIL' if problem else 'ok  '} {name} {time.time() - start:.1f}s {problem or ''}",
               flush=True)
     print(f"{len(names) - failed} of {len(names)} agree")
+    release(spark)
     spark.stop()
     return failed
 
