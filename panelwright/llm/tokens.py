@@ -125,14 +125,20 @@ def words_of(column: pa.Array, lower: bool = True) -> Words:
     return split(LOWER[raw] if lower else raw, off)
 
 
-def span_hash(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+class Spans:
     """64-bit hashes of byte ranges, equal for equal bytes wherever they stand."""
-    if not len(start):
-        return np.empty(0, U64)
-    power, inverse = powers(len(raw) + 1)
-    total = np.zeros(len(raw) + 1, U64)
-    np.cumsum((raw.astype(U64) + U64(1)) * power[: len(raw)], out=total[1:])
-    return mix((total[end] - total[start]) * inverse[start])
+
+    def __init__(self, raw: np.ndarray):
+        power, self.inverse = powers(len(raw) + 1)
+        self.total = np.zeros(len(raw) + 1, U64)
+        np.cumsum((raw.astype(U64) + U64(1)) * power[: len(raw)], out=self.total[1:])
+
+    def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mix((self.total[end] - self.total[start]) * self.inverse[start])
+
+
+def span_hash(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    return Spans(raw)(start, end) if len(start) else np.empty(0, U64)
 
 
 def word_hash(words: Words) -> np.ndarray:
