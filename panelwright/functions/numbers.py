@@ -23,9 +23,13 @@ def to_number(text: Column) -> Column:
 
 
 def to_day(text: Column) -> Column:
-    """String to date for ISO, compact and slashed notations; unparseable text is NULL."""
+    """String to date for ISO, compact and slashed notations; unparseable text is NULL.
+
+    The JVM's own cast also takes bare numbers as years, such as ``45000``, so it is asked only for
+    text that begins with four digits and a dash.
+    """
     return F.coalesce(
-        text.try_cast("date"),
+        F.when(text.rlike(r"^\s*\d{4}-"), text.try_cast("date")),
         F.try_to_timestamp(text, F.lit("yyyyMMdd")).cast("date"),
         F.try_to_timestamp(text, F.lit("yyyy/M/d")).cast("date"),
     )

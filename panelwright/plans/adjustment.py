@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelwright import schemas
 from panelwright.operators.asof import asof_backward
+from panelwright.scratch import pin
+from panelwright.sources import files, sinks
 
 
 class Adjustment(NamedTuple):
@@ -20,11 +22,13 @@ class Adjustment(NamedTuple):
 def adjusted_prices(bars: DataFrame, factors: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     """close * split factor + cumulative dividend, from the latest factor row of each bar.
 
-    Missing factors are 1 and 0. ``carry`` names further bar columns to keep; carrying
+    Missing factors are 1 and 0. Of several factor rows on one date the last by ``ingest_seq``
+    counts, where the factors have it. ``carry`` names further bar columns to keep; carrying
     ``amount`` saves the research job a join.
     """
     bars = bars.select("symbol", "date", "close", *carry)
-    joined = asof_backward(bars, factors, "symbol", "date", ["s", "u"])
+    order = "ingest_seq" if "ingest_seq" in factors.columns else None
+    joined = asof_backward(bars, factors, "symbol", "date", ["s", "u"], order=order)
     split = F.coalesce("s", F.lit(1.0))
     dividend = F.coalesce("u", F.lit(0.0))
     return joined.select(
@@ -65,3 +69,23 @@ def adjustment_totals(bars: DataFrame, result: Adjustment) -> DataFrame:
 
 
 ADJUSTED_COLUMNS = schemas.column_names(schemas.ADJUSTED)
+
+
+def build_total_return_from_files(
+    spark: SparkSession, bars_path: str, factors_path: str, output: str
+) -> Adjustment:
+    """From stored bars and a folder of factor files to the stored adjusted table.
+
+    The table (by year) is what ``scan_research`` reads; it keeps the amount, which saves the
+    research job a join. Symbols without a factor file go to a report, the counts to a summary.
+    """
+    bars = spark.read.parquet(bars_path)
+    factors = files.read_factor_files(spark, factors_path)
+    inventory = files.file_inventory(spark, factors_path)
+    result = build_total_return(bars, factors, inventory, ["amount"])
+    sinks.write_by_year(result.adjusted.select(*ADJUSTED_COLUMNS, "amount"), f"{output}/adjusted")
+    missing = pin(result.missing, "missing")
+    sinks.write_report(missing, f"{output}/missing_factors", "symbol")
+    stored = Adjustment(spark.read.parquet(f"{output}/adjusted").drop("year"), missing)
+    adjustment_totals(bars, stored).write.mode("overwrite").json(f"{output}/adjustment_totals")
+    return stored

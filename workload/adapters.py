@@ -15,9 +15,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def fixed(value: Column | str) -> Column:
-    """Six decimals, the same in both engines."""
+    """Six decimals, the same in both engines.
+
+    Spark's floor gives a bigint. Beyond 2^53 a double has no fraction left, so it passes as it is.
+    """
     column = F.col(value) if isinstance(value, str) else value
-    return F.floor(column * 1e6 + settings.ROUND_SHIFT) / F.lit(1e6)
+    shifted = column * 1e6 + settings.ROUND_SHIFT
+    whole = F.when(F.abs(shifted) < float(2**53), F.floor(shifted).cast("double")).otherwise(shifted)
+    return whole / F.lit(1e6)
 
 
 def session_day(day: Column, days: int) -> Column:
@@ -99,9 +104,8 @@ def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _line_order() -> Column:
-    """Order, line and part number side by side in one decimal."""
-    line = (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("decimal(20,0)")
-    return (line * F.lit(10**11).cast("decimal(12,0)") + F.col("l_partkey")).cast("decimal(38,0)")
+    """Order, line and part number side by side in one long."""
+    return (F.col("l_orderkey") * 10 + F.col("l_linenumber")) * F.lit(10**8) + F.col("l_partkey")
 
 
 def supplier_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
