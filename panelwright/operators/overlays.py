@@ -41,40 +41,25 @@ def drawdown_stop(rows: DataFrame, gross: str, reentry: str = "breadth") -> Data
     """Add ``stopped`` to rows with ``stop_drawdown`` and ``stop_reentry_breadth``.
 
     ``reentry`` is the breadth that a stopped portfolio must see to resume, the same date's by
-    default. Each scenario's series, one entry per calendar date, is folded on its own and
-    spread out again in the same task.
+    default. Of each scenario's series, one entry per calendar date, only what the fold reads is
+    gathered. Its switches come back as rows and are carried forward, one step per date.
     """
-    columns = [name for name in rows.columns if name not in ("scenario_id", "pos")]
+    day = F.struct("pos", F.col(gross).alias("gross"), F.col(reentry).alias("breadth"))
     folded = (
-        rows.groupBy("scenario_id")
+        rows.where("stop_drawdown > 0")
+        .groupBy("scenario_id")
         .agg(
-            F.sort_array(F.collect_list(F.struct("pos", *columns))).alias("series"),
+            F.sort_array(F.collect_list(day)).alias("series"),
             F.first("stop_drawdown").alias("limit"),
             F.first("stop_reentry_breadth").alias("reentry"),
         )
-        .withColumn(
-            "switches",
-            F.when(
-                F.col("limit") > 0,
-                stop_switches(
-                    F.transform(
-                        "series",
-                        lambda day: F.struct(
-                            day["pos"].alias("pos"),
-                            day[gross].alias("gross"),
-                            day[reentry].alias("breadth"),
-                        ),
-                    ),
-                    F.col("limit"),
-                    F.col("reentry"),
-                ),
-            ),
+        .select(
+            "scenario_id", stop_switches(F.col("series"), F.col("limit"), F.col("reentry")).alias("switches")
         )
     )
-    latest = F.aggregate(
-        "switches",
-        F.lit(False),
-        lambda state, s: F.when(s["pos"] <= F.col("pos"), s["stopped"]).otherwise(state),
+    switches = folded.select("scenario_id", F.inline("switches"))
+    carried = F.last("stopped", ignorenulls=True).over(
+        by_scenario().rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    spread = folded.select("scenario_id", "switches", F.inline("series"))
-    return spread.withColumn("stopped", F.coalesce(latest, F.lit(False))).drop("switches")
+    marked = rows.join(switches, ["scenario_id", "pos"], "left")
+    return marked.withColumn("stopped", F.coalesce(carried, F.lit(False)))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelwright.operators.calendar import slot_calendar
@@ -33,6 +33,22 @@ def require_unique(rows: DataFrame, keys: Sequence[str] = ("symbol", "date")) ->
     return rows
 
 
+def is_repeated() -> Column:
+    """Whether the row's (symbol, pos) occurs more than once; shares the windows by symbol."""
+    return F.count(F.lit(1)).over(Window.partitionBy("symbol").orderBy("pos").rangeBetween(0, 0)) > 1
+
+
+def refuse_repeated(measured: DataFrame) -> DataFrame:
+    """Raise when a pinned table marks a repeated key in ``repeated``, else drop the mark.
+
+    One scan of one column; a repeated date would enter returns and weights twice.
+    """
+    first = measured.where("repeated").select("symbol", "date").limit(1).collect()
+    if first:
+        raise ValueError(f"duplicate symbol, date rows, such as {first[0].symbol} {first[0].date}")
+    return measured.drop("repeated")
+
+
 def densify(
     rows: DataFrame, calendar: DataFrame, values: Sequence[str] = ("close", "amount")
 ) -> DataFrame:
@@ -40,7 +56,8 @@ def densify(
 
     Each row fills the empty slots up to the symbol's next row (the first row also those before
     it), so the result is emitted from one pass over rows partitioned by symbol: no product of
-    symbols and dates is formed, and later windows by symbol reuse the partitioning.
+    symbols and dates is formed, and later windows by symbol reuse the partitioning. A repeated
+    (symbol, date) raises when the result is computed.
 
     The rotation plans do not need this form. Their windows are framed by slot number over the
     existing rows, which gives the same values because empty slots hold only NULLs.
@@ -54,7 +71,12 @@ def densify(
         F.when(F.lag("pos").over(by_symbol).isNull(), F.lit(0))
         .otherwise(F.col("pos"))
         .alias("from_pos"),
-        F.coalesce(F.lead("pos").over(by_symbol) - 1, last_pos).alias("to_pos"),
+        F.when(
+            F.lead("pos").over(by_symbol) == F.col("pos"),
+            F.raise_error(F.lit("duplicate symbol, date rows")).cast("int"),
+        )
+        .otherwise(F.coalesce(F.lead("pos").over(by_symbol) - 1, last_pos))
+        .alias("to_pos"),
     )
     slots = spans.select(
         "symbol",

@@ -2,7 +2,7 @@
 
 All frames range over ``pos``: a frame of n slots holds n values only when no slot is empty,
 so the full-window rule is a count, on sparse rows and on a dense panel alike. All measures of
-one table share one shuffle and one sort by (symbol, pos).
+one table share one shuffle by symbol and one sort by (symbol, pos).
 """
 
 from __future__ import annotations
@@ -55,6 +55,9 @@ def with_moving_averages(rows: DataFrame, source: str, windows: Mapping[str, int
     in two neighbours, and its sum comes from running sums inside the blocks: a constant number
     of lookups per row. The sums restart with every block, so a bad price cannot spoil the
     precision of later years. A flat window returns its value, free of summation error.
+
+    Rows are clustered by symbol first, which serves the windows by block as well: one shuffle, and
+    a sort of its own for the blocks.
     """
     kept = rows.columns
     block = 1 << (max(windows.values()) - 1).bit_length()
@@ -62,7 +65,7 @@ def with_moving_averages(rows: DataFrame, source: str, windows: Mapping[str, int
     by_block = Window.partitionBy("symbol", "__block").orderBy("pos")
     so_far = by_block.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     whole = by_block.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    summed = rows.withColumn("__block", F.floor(F.col("pos") / block)).withColumns(
+    summed = rows.repartition("symbol").withColumn("__block", F.floor(F.col("pos") / block)).withColumns(
         {
             "__sum": F.sum(source).over(so_far),
             "__count": F.count(source).over(so_far),

@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 from panelwright.functions.classify import CASH, DEFAULT_CLASS, DEFAULT_RULES, Rules
 from panelwright.functions.text import general_number
 from panelwright.operators import cleaning
+from panelwright.operators.ranks import exact_quantiles
 from panelwright.operators.selection import top_n
 from panelwright.scratch import pin
 from panelwright.sources import files, sinks
 
+# Default rules of the snapshot and the research pool.
 MIN_HISTORY_ROWS = 252
 MAX_STALE_DAYS = 30
 MIN_MEDIAN_AMOUNT = 10_000_000.0
@@ -68,22 +70,25 @@ def _class_map(rows: DataFrame):
 
 
 def quality_summary(quality: DataFrame, catalog: DataFrame) -> DataFrame:
-    """One row of totals over the quality table, with counts by class as a map."""
+    """One row of totals over the quality table, with counts by class as a map.
+
+    The quantiles are exact and computed at once; give a stored quality table.
+    """
+    [rows] = exact_quantiles(quality, "rows_valid", [0.5])
+    quartiles = exact_quantiles(quality, "median_amount_60d", [0.25, 0.5, 0.75])
     return quality.agg(
         F.count(F.lit(1)).alias("history_count"),
         F.count_if(F.col("rows_valid") > 0).alias("valid_count"),
         F.sum("rows_valid").alias("total_daily_rows"),
-        F.median("rows_valid").alias("median_history_rows"),
-        F.percentile("median_amount_60d", [0.25, 0.5, 0.75]).alias("amount_quartiles"),
     ).select(
         catalog.select(F.count(F.lit(1))).scalar().alias("catalog_count"),
         "history_count",
         "valid_count",
         "total_daily_rows",
-        "median_history_rows",
+        F.lit(rows).cast("double").alias("median_history_rows"),
         *[
-            F.get("amount_quartiles", F.lit(i)).alias(name)
-            for i, name in enumerate(("amount_q25", "amount_q50", "amount_q75"))
+            F.lit(value).cast("double").alias(name)
+            for name, value in zip(("amount_q25", "amount_q50", "amount_q75"), quartiles, strict=True)
         ],
         _class_map(quality).alias("asset_class_counts"),
     )
@@ -148,6 +153,18 @@ def snapshot_totals(snapshot: DataFrame) -> DataFrame:
     ).withColumn("eligible_by_asset_class", _class_map(snapshot.where("eligible")))
 
 
+def build_snapshot(
+    spark: SparkSession, quality_path: str, output: str, **rules
+) -> tuple[DataFrame, DataFrame]:
+    """From the stored quality table to the snapshot's report (CSV) and totals (JSON)."""
+    snapshot = pin(universe_snapshot(files.read_quality(spark, quality_path), **rules), "snapshot")
+    sinks.write_ordered_report(export_snapshot(snapshot), f"{output}/snapshot")
+    totals = snapshot_totals(snapshot)
+    totals.write.mode("overwrite").json(f"{output}/snapshot_totals")
+    return snapshot, totals
+
+
+# The columns of the research pool's report.
 RESEARCH_COLUMNS = (
     "symbol",
     "name",
@@ -183,3 +200,24 @@ def export_research_universe(universe: DataFrame) -> DataFrame:
     return universe.orderBy(
         F.col("asset_class").asc(), F.col("median_amount_60d").desc(), F.col("symbol").asc()
     )
+
+
+def research_totals(quality: DataFrame, universe: DataFrame) -> DataFrame:
+    """One row: newest date of the quality table, symbols chosen, and chosen ones by class."""
+    return quality.agg(F.max("last_date").alias("as_of")).select(
+        "as_of",
+        universe.select(F.count(F.lit(1))).scalar().alias("selected"),
+        _class_map(universe).alias("selected_by_asset_class"),
+    )
+
+
+def build_research_universe(
+    spark: SparkSession, quality_path: str, output: str, **rules
+) -> tuple[DataFrame, DataFrame]:
+    """From the stored quality table to the research pool's report (CSV) and totals (JSON)."""
+    quality = files.read_quality(spark, quality_path)
+    universe = pin(research_universe(quality, **rules), "pool")
+    sinks.write_ordered_report(export_research_universe(universe), f"{output}/research_universe")
+    totals = research_totals(quality, universe)
+    totals.write.mode("overwrite").json(f"{output}/research_totals")
+    return universe, totals

@@ -21,7 +21,7 @@ from panelwright.functions.folds import capped_inverse_vol
 from panelwright.functions.numbers import finite, ratio
 from panelwright.operators import cross_section, overlays, performance, rolling
 from panelwright.operators.calendar import rebalance_dates, slot_calendar
-from panelwright.operators.panel import attach_slots
+from panelwright.operators.panel import attach_slots, is_repeated, refuse_repeated
 from panelwright.operators.selection import eligible, top_n_per_category, with_fallback
 from panelwright.scratch import pin
 from panelwright.sources import sinks
@@ -149,6 +149,7 @@ def research_signals(
         "liquidity",
         rolling.history_count(close).alias("history"),
         rolling.stale_days(close, F.col("date")).alias("stale_days"),
+        is_repeated().alias("repeated"),
     )
     with_vol = measured.withColumn("vol", rolling.volatility(F.col("ret"), spec.vol_window))
     def on_signal(column: Column, name: str) -> Column:
@@ -162,6 +163,7 @@ def research_signals(
         "active_signal_pos",
         "asset_class",
         "ret",
+        "repeated",
         *[_trend_name(window) for window in trend_windows],
         on_signal(close.isNotNull(), "priced"),
         on_signal(F.col("vol"), "vol"),
@@ -473,7 +475,9 @@ def _run_mode(
     trend_windows = sorted({s.trend_window for s in scenarios})
     tables = scenario_tables(spark, scenarios)
     calendar = pin(slot_calendar(prices), "calendar")
-    signals = pin(research_signals(prices, classes, calendar, trend_windows, spec), "signals")
+    signals = refuse_repeated(
+        pin(research_signals(prices, classes, calendar, trend_windows, spec), "signals")
+    )
     market = pin(market_by_date(signals, calendar, trend_windows, spec), "market")
     candidates = scored_candidates(signals, market, trend_windows, spec)
     ordered = pin(selection_orders(candidates, market, tables, scenarios), "orders")

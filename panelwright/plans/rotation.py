@@ -12,7 +12,7 @@ from panelwright.functions.folds import equal_weights
 from panelwright.functions.numbers import finite, ratio
 from panelwright.operators import performance, rolling
 from panelwright.operators.calendar import rebalance_dates, slot_calendar
-from panelwright.operators.panel import attach_slots
+from panelwright.operators.panel import attach_slots, is_repeated, refuse_repeated
 from panelwright.operators.selection import top_n, with_fallback
 from panelwright.scratch import pin
 from panelwright.sources import sinks
@@ -56,6 +56,7 @@ def rotation_signals(
         rolling.simple_return(close).alias("ret"),
         rolling.simple_return(close, config.momentum_window).alias("momentum"),
         (close > F.col("average")).alias("trend"),
+        is_repeated().alias("repeated"),
     )
     scored = measured.withColumn(
         "vol", rolling.volatility(F.col("ret"), config.volatility_window)
@@ -106,9 +107,11 @@ def run_rotation(
             "ret",
             "trend",
             "score",
+            "repeated",
         ),
         "signals",
     )
+    signals = refuse_repeated(signals)
     ordered = pin(
         weekly_orders(signals, calendar, defensive, config.top_n).withColumns(labels), "orders"
     )

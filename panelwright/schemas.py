@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
+# Columns of the stored tables, as other tools read them.
 PRICE_FIELDS = ("open", "high", "low", "close", "volume", "amount")
 
 CATALOG = "symbol string, name string"
-BARS = (
-    "symbol string, date date, open double, high double, low double, close double, "
-    "volume double, amount double"
-)
-FACTORS = "symbol string, date date, f double, s double, u double"
 ADJUSTED = (
     "symbol string, date date, close double, total_return_proxy double, "
     "cumulative_dividend double, split_factor double"

@@ -8,51 +8,83 @@ from pyspark.sql import functions as F
 from panelwright import schemas
 from panelwright.functions.numbers import to_day, to_number
 from panelwright.functions.text import padded_symbol
+from panelwright.scratch import pin
 
 # A date guard for factor rows: earlier dates are placeholders.
 FIRST_FACTOR_DATE = "1900-01-01"
 
 
 def file_order() -> Column:
-    """Position of a row within its text file, as one number.
+    """Position of a row within its text file, as a long that grows with it.
 
-    Splits of one file start at growing offsets, and ids grow within a split. The offset fills
-    the high digits and the row part of the id (its low 33 bits) the low ones. It must be taken
-    right at the scan, before any shuffle.
+    Splits of one file start at growing offsets, and ids grow within a task. The row part of the id
+    (its low 33 bits) is below the bytes that the task reads, which are at most the distance to the
+    next split, so offset and row add up to a growing number. It must be taken right at the scan,
+    before any shuffle.
     """
-    rows_per_split = 1 << 33
-    start = F.col("_metadata.file_block_start").cast("decimal(19,0)")
-    row = F.monotonically_increasing_id().bitwiseAND(F.lit(rows_per_split - 1))
-    return (start * F.lit(rows_per_split).cast("decimal(10,0)") + row.cast("decimal(10,0)")).cast(
-        "decimal(38,0)"
-    )
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return F.col("_metadata.file_block_start") + row
 
 
 def _stem(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]+?)(?:\.[^./]+)?$", 1)
 
 
-def _read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """All-text scan. A file whose header differs from the first one fails the job."""
-    return spark.read.option("header", True).option("enforceSchema", False).csv(path)
+def _symbol(path: Column) -> Column:
+    """The nearest ``symbol=`` folder above a file, or else the file's name."""
+    plain = F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+    folder = F.regexp_extract(plain, r".*/symbol=([^/]+)/", 1)
+    return F.when(F.length(folder) > 0, folder).otherwise(_stem(plain))
+
+
+def _cells(line: Column, width: int) -> Column:
+    """Cells of a CSV line as an array of text, NULL where empty or absent."""
+    names = [f"c{i}" for i in range(width)]
+    row = F.from_csv(line, ", ".join(f"{name} string" for name in names))
+    return F.array(*[row[name] for name in names])
 
 
 def _read_text_columns(
     spark: SparkSession, path: str, names: list[str], required: set[str]
 ) -> DataFrame:
-    frame = _read_csv(spark, path)
-    present = set(frame.columns)
-    missing = required - present
-    if missing:
-        raise ValueError(f"missing columns {sorted(missing)} in {path}")
-    columns = [
-        F.col(name) if name in present else F.lit(None).cast("string").alias(name)
-        for name in names
-    ]
-    return frame.select(
-        _stem(F.col("_metadata.file_name")).alias("symbol"),
-        *columns,
-        file_order().alias("ingest_seq"),
+    """Named columns of every CSV below a folder, as text. Each file has a header of its own.
+
+    One scan of lines; the first line of a file gives the place of each of its columns, so columns
+    may be reordered, further ones are ignored, and absent ones are NULL. A file without a required
+    column fails the job.
+    """
+    lines = (
+        spark.read.option("recursiveFileLookup", True)
+        .text(path)
+        .select(
+            F.col("_metadata.file_path").alias("path"),
+            file_order().alias("ingest_seq"),
+            F.regexp_replace("value", "^\ufeff", "").alias("line"),
+        )
+        .where(F.trim("line") != "")
+    )
+    first = lines.groupBy("path").agg(
+        F.min("ingest_seq").alias("header_seq"), F.min_by("line", "ingest_seq").alias("header")
+    )
+    first = pin(first, "headers")
+    commas = F.length("header") - F.length(F.replace("header", F.lit(","), F.lit("")))
+    width = first.agg(F.max(commas)).first()[0]
+    if width is None:
+        return spark.createDataFrame([], ", ".join(f"{n} string" for n in ("symbol", *names)) + ", ingest_seq long")
+    titles = F.transform(_cells(F.col("header"), width + 1), lambda cell: F.trim(cell))
+    places = first.select("path", "header_seq", *[
+        F.nullif(F.array_position(titles, name), F.lit(0)).cast("int").alias(f"at_{name}") for name in names
+    ])
+    for name in required:
+        bad = places.where(F.col(f"at_{name}").isNull()).limit(1).collect()
+        if bad:
+            raise ValueError(f"missing column {name} in {bad[0].path}")
+    rows = lines.join(places, "path").where("ingest_seq > header_seq")
+    cells = rows.withColumn("cells", _cells(F.col("line"), width + 1))
+    return cells.select(
+        _symbol(F.col("path")).alias("symbol"),
+        *[F.get("cells", F.col(f"at_{name}") - 1).alias(name) for name in names],
+        "ingest_seq",
     )
 
 
@@ -75,6 +107,7 @@ def read_factor_files(spark: SparkSession, path: str) -> DataFrame:
         "symbol",
         to_day(F.col("date")).alias("date"),
         *[to_number(F.col(name)).alias(name) for name in ("f", "s", "u")],
+        "ingest_seq",
     )
     return guard_factor_dates(rows)
 
@@ -95,9 +128,12 @@ def read_adjusted_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def file_inventory(spark: SparkSession, path: str) -> DataFrame:
-    """One row per CSV file: symbol and size. The file content is not read."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(path)
-    return files.select(_stem(F.col("path")).alias("symbol"), F.col("length").alias("bytes"))
+    """One row per symbol with a CSV file: its size. The file content is not read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").option(
+        "recursiveFileLookup", True
+    ).load(path)
+    sized = files.select(_symbol(F.col("path")).alias("symbol"), F.col("length").alias("bytes"))
+    return sized.groupBy("symbol").agg(F.sum("bytes").alias("bytes"))
 
 
 def count_file_rows(bars: DataFrame, inventory: DataFrame) -> DataFrame:
@@ -116,9 +152,9 @@ def read_catalog(spark: SparkSession, path: str) -> DataFrame:
     ))
 
 
-def shape_catalog(catalog: DataFrame) -> DataFrame:
-    """Six-character symbols, empty names for nulls, the first row of each symbol."""
-    order = F.col("ingest_seq") if "ingest_seq" in catalog.columns else F.col("name")
+def shape_catalog(catalog: DataFrame, order: str = "ingest_seq") -> DataFrame:
+    """Six-character symbols, empty names for nulls, the first row of each symbol by ``order``."""
+    order = F.col(order)
     filled = catalog.select(
         padded_symbol(F.coalesce("symbol", F.lit(""))).alias("symbol"),
         F.coalesce("name", F.lit("")).alias("name"),

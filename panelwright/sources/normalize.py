@@ -49,12 +49,12 @@ def _coerced(frame: DataFrame, source: str, is_date: bool):
 
 
 def normalize_bars(
-    frame: DataFrame, symbol: str, order: str | None = None, by: Sequence[str] = ()
+    frame: DataFrame, symbol: str, order: str, by: Sequence[str] = ()
 ) -> DataFrame:
     """Canonical OHLCV rows, the first row of each date kept; absent columns are typed NULL.
 
-    ``order`` names the column that gives the row order (default: all columns as read);
-    ``by`` names further key columns, for a table that holds many symbols.
+    ``order`` names the column that gives the row order, such as ``files.file_order`` taken at the
+    scan; ``by`` names further key columns, for a table that holds many symbols.
     """
     found = resolve(frame.columns, BAR_ALIASES)
     if "date" not in found or "close" not in found:
@@ -68,15 +68,15 @@ def normalize_bars(
         for name in schemas.PRICE_FIELDS
     ]
     rows = frame.select(
-        *by, _coerced(frame, found["date"], True).alias("date"), *fields, _order(frame, order)
+        *by, _coerced(frame, found["date"], True).alias("date"), *fields, F.col(order).alias("row_order")
     ).where(F.col("date").isNotNull() & F.col("close").isNotNull())
     return keep_first(rows, [*by, "date"], schemas.PRICE_FIELDS, "row_order")
 
 
 def normalize_series(
-    frame: DataFrame, name: str = "close", order: str | None = None, by: Sequence[str] = ()
+    frame: DataFrame, order: str, name: str = "close", by: Sequence[str] = ()
 ) -> DataFrame:
-    """(date, value) rows without nulls, the first row of each date kept."""
+    """(date, value) rows without nulls, the first row of each date by ``order`` kept."""
     found = resolve(frame.columns, SERIES_ALIASES)
     if len(found) < 2:
         raise ValueError(f"no {name} data columns in {frame.columns}")
@@ -84,17 +84,11 @@ def normalize_series(
         *by,
         _coerced(frame, found["date"], True).alias("date"),
         _coerced(frame, found["close"], False).alias(name),
-        _order(frame, order),
+        F.col(order).alias("row_order"),
     ).na.drop(subset=["date", name])
     return keep_first(rows, [*by, "date"], [name], "row_order")
 
 
-def _order(frame: DataFrame, order: str | None):
-    if order is not None:
-        return F.col(order).alias("row_order")
-    return F.monotonically_increasing_id().alias("row_order")
-
-
 def keep_first(
     rows: DataFrame, keys: Sequence[str], values: Sequence[str], order: str
 ) -> DataFrame:
@@ -103,15 +97,15 @@ def keep_first(
     return rows.groupBy(*keys).agg(*kept)
 
 
-def normalize_catalog(frame: DataFrame) -> DataFrame:
-    """Symbol list of a vendor quote table: padded codes, one row per symbol."""
+def normalize_catalog(frame: DataFrame, order: str) -> DataFrame:
+    """Symbol list of a vendor quote table: padded codes, the first row per symbol by ``order``."""
     found = resolve(frame.columns, CATALOG_ALIASES)
     if len(found) < 2:
         raise ValueError(f"no code or name column in {frame.columns}")
     rows = frame.select(
         padded_symbol(F.col(f"`{found['symbol']}`")).alias("symbol"),
         F.col(f"`{found['name']}`").alias("name"),
-        F.monotonically_increasing_id().alias("row_order"),
+        F.col(order).alias("row_order"),
     )
     return keep_first(rows, ["symbol"], ["name"], "row_order")
 

@@ -30,6 +30,11 @@ def write_report(rows: DataFrame, path: str, *order: object) -> None:
     sorted_rows.write.mode("overwrite").option("header", True).csv(path)
 
 
+def write_ordered_report(rows: DataFrame, path: str) -> None:
+    """CSV report of rows that carry their own order."""
+    rows.write.mode("overwrite").option("header", True).csv(path)
+
+
 def write_table(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").parquet(path)
 

@@ -53,8 +53,12 @@ def combine_series(series: Mapping[str, DataFrame], value: str = "close") -> Dat
 
 
 def pivot_prices(prices: DataFrame, symbols: Sequence[str], value: str = "close") -> DataFrame:
-    """Wide table with one column per listed symbol, for export."""
-    return prices.groupBy("date").pivot("symbol", list(symbols)).agg(F.first(value))
+    """Wide table with one column per listed symbol, for export; any other symbol is an error."""
+    known = F.when(F.col("symbol").isin(list(symbols)), F.col("symbol")).otherwise(
+        F.raise_error(F.concat(F.lit("symbol without a column: "), F.coalesce("symbol", F.lit("NULL"))))
+    )
+    listed = prices.withColumn("symbol", known)
+    return listed.groupBy("date").pivot("symbol", list(symbols)).agg(F.first(value))
 
 
 def write_wide_prices(
