@@ -160,6 +160,19 @@ def test_duplicate_panel_keys_are_an_error(gappy):
         require_unique(gappy.unionByName(gappy.limit(1)))
 
 
+def test_dense_panel_refuses_duplicate_keys(gappy):
+    twice = gappy.unionByName(gappy.limit(1))
+    with pytest.raises(Exception, match="duplicate symbol, date"):
+        densify(twice, slot_calendar(gappy)).collect()
+
+
+def test_averages_shuffle_the_panel_once(spark):
+    rows = spark.range(1000).selectExpr("string(id % 5) AS symbol", "int(id / 5) AS pos", "double(id) AS close")
+    plan = rolling.with_moving_averages(rows, "close", {"ma": 20})
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange hashpartitioning") == 1
+
+
 def test_dates_without_any_price_are_dropped(spark):
     rows = spark.createDataFrame(
         [

@@ -3,14 +3,18 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from panelwright import schemas
 from panelwright.functions.classify import asset_class
 from panelwright.functions.text import general_number, market_prefix, padded_symbol
 from panelwright.operators.asof import asof_backward
 from panelwright.operators.cleaning import keep_last
+from panelwright.operators.ranks import exact_quantiles
 from panelwright.plans.adjustment import adjustment_totals, build_total_return
 from panelwright.plans.ingest import ingest_coverage
 from panelwright.plans.quality import (
     build_bars,
+    build_research_universe,
+    build_snapshot,
     export_snapshot,
     quality_summary,
     research_universe,
@@ -96,9 +100,9 @@ def test_keep_first_and_alias_headers(spark):
         (D(2024, 1, 4), 3.0, None, None),
     ]
     nav = frame.withColumnsRenamed({"日期": "净值日期", "收盘": "单位净值"})
-    assert normalize_series(nav, "nav", order="n").orderBy("date").first().nav == 2.5
+    assert normalize_series(nav, "n", "nav").orderBy("date").first().nav == 2.5
     with pytest.raises(ValueError):
-        normalize_bars(frame.drop("收盘"), "510300")
+        normalize_bars(frame.drop("收盘"), "510300", order="n")
 
 
 def test_numbers_and_symbols(spark):
@@ -117,8 +121,19 @@ def test_numbers_and_symbols(spark):
     assert [r.v for r in rows] == [1000.0, None, None, 2.0]
     assert [r.m for r in rows] == ["sz", "sh", "sh", "sz"]
     assert general_number(10_000_000.0) == "1e+07"
-    listed = spark.createDataFrame([("15", "x"), ("15", "y")], "code string, name string")
-    assert [tuple(r) for r in normalize_catalog(listed).collect()] == [("000015", "x")]
+    listed = spark.createDataFrame([("15", "x", 2), ("15", "y", 1)], "code string, name string, n int")
+    assert [tuple(r) for r in normalize_catalog(listed, "n").collect()] == [("000015", "y")]
+
+
+def test_bare_numbers_are_no_dates(spark):
+    texts = ["45000", "12345", "2024", " 2024-01-05 ", "20240105", "2024/1/5", "2024-1-5", "2024-01-05 10:00:00", "x2024-01-05"]
+    from panelwright.functions.numbers import to_day
+
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    day = D(2024, 1, 5)
+    assert [r.d for r in frame.select(to_day(F.col("t")).alias("d")).collect()] == [
+        None, None, None, day, day, day, day, day, None,
+    ]
 
 
 def test_first_matching_rule_wins(spark):
@@ -245,7 +260,6 @@ def test_bucketed_asof_equals_plain(spark):
         "IF(id % 2 = 0, 'hot', string(id % 5)) AS k", "int(id * 13 % 199) AS t", "id AS v",
         "IF(id % 4 = 0, NULL, id) AS w",
     )
-    right = right.dropDuplicates(["k", "t"])
     plain = asof_backward(left, right, "k", "t", ["v", "w"])
     cut = asof_backward(
         left, right, "k", "t", ["v", "w"], F.floor(F.col("t") / 10), hot_key_rows=100
@@ -257,7 +271,54 @@ def test_bucketed_asof_equals_plain(spark):
         rights.setdefault(r.k, []).append((r.t, r.v, r.w))
     for r in plain.collect():
         known = [x for x in rights.get(r.k, []) if x[0] <= r.t]
-        assert (r.v, r.w) == (max(known)[1:] if known else (None, None))
+        last = max(known, key=lambda x: (x[0], x[1])) if known else (None, None, None)
+        assert (r.v, r.w) == last[1:]
+
+
+def test_asof_ties_follow_the_order_and_nulls_match_nothing(spark):
+    left = spark.createDataFrame([("a", 5, 1), ("a", None, 2), (None, 5, 3), ("b", 9, 4)], "k string, t int, id int")
+    right = spark.createDataFrame(
+        [("a", 3, 7, 2), ("a", 3, 1, 3), ("a", 3, 9, 1), ("a", None, 50, 9), (None, 3, 60, 9), ("b", 4, 5, None)],
+        "k string, t int, v int, n int",
+    )
+    expected = {1: 1, 2: None, 3: None, 4: 5}
+    for options in ({}, {"bucket": F.floor(F.col("t") / 2), "hot_key_rows": 2}):
+        got = asof_backward(left, right, "k", "t", ["v"], order="n", **options)
+        assert {r.id: r.v for r in got.collect()} == expected
+    unordered = asof_backward(left, right, "k", "t", ["v"])
+    assert {r.id: r.v for r in unordered.collect()} == expected | {1: 9}
+
+
+def test_exact_quantiles_of_ties_and_nulls(spark):
+    values = [5.0] * 400 + [float(k) for k in range(101)] + [None] * 7
+    frame = spark.createDataFrame([(v,) for v in values], "x double").repartition(7)
+    known = sorted(v for v in values if v is not None)
+    shares = [0.0, 0.25, 0.5, 0.9, 0.999, 1.0]
+    got = exact_quantiles(frame, "x", shares)
+    for share, value in zip(shares, got, strict=True):
+        at = share * (len(known) - 1)
+        low = known[int(at)]
+        high = known[min(int(at) + 1, len(known) - 1)]
+        assert value == pytest.approx(low + (high - low) * (at - int(at)))
+    assert exact_quantiles(frame.where("x > 1000"), "x", [0.5]) == [None]
+
+
+def test_snapshot_and_pool_jobs_write_reports(spark, quality, tmp_path):
+    stored = quality.select(
+        *[F.col(c) if c in quality.columns else F.lit(None).alias(c) for c in schemas.column_names(schemas.QUALITY)]
+    )
+    kinds = dict(f.split() for f in schemas.QUALITY.split(", "))
+    stored.select(*[F.col(c).cast(k) for c, k in kinds.items()]).write.parquet(str(tmp_path / "quality"))
+    build_snapshot(spark, str(tmp_path / "quality"), str(tmp_path))
+    build_research_universe(spark, str(tmp_path / "quality"), str(tmp_path), per_category=1, cash_count=1)
+    report = spark.read.option("header", True).csv(str(tmp_path / "snapshot"))
+    assert {r.symbol for r in report.where("eligible = 'true'").collect()} == {"a", "e", "g"}
+    totals = spark.read.json(str(tmp_path / "snapshot_totals")).first()
+    assert (totals.total, totals.eligible, totals.eligible_by_asset_class.bond) == (7, 3, 1)
+    pool = spark.read.option("header", True).csv(str(tmp_path / "research_universe"))
+    assert {r.symbol for r in pool.collect()} == {"g", "e", "f"}
+    chosen = spark.read.json(str(tmp_path / "research_totals")).first()
+    assert (chosen.as_of, chosen.selected) == ("2024-06-30", 3)
 
 
 def test_ingest_coverage(spark):

@@ -1,6 +1,7 @@
 import datetime as dt
 import json
 import math
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from panelwright.plans.research import (
     run_research,
 )
 from panelwright.operators.calendar import slot_calendar
+from panelwright.operators.overlays import drawdown_stop
 from panelwright.scratch import pin
 from tests.conftest import business_days
 
@@ -225,3 +227,29 @@ def test_report_files_and_warm_up(prices, classes, tmp_path):
     summaries = {row["scenario_id"]: row for row in map(json.loads, lines)}
     assert summaries["b"]["price_mode"] == "total-return"
     assert summaries["a"]["start"] == start.isoformat()
+
+
+def test_a_repeated_date_is_an_error(prices, classes):
+    twice = prices.unionByName(prices.where("symbol = 'R1'").limit(1))
+    with pytest.raises(ValueError, match="duplicate symbol, date"):
+        run_research({scenario("a").price_mode: twice}, classes, [scenario("a")], SPEC)
+
+
+def test_the_stop_takes_time_in_step_with_the_days(spark):
+    def seconds(days):
+        rows = spark.range(days).select(
+            F.lit("s").alias("scenario_id"),
+            F.col("id").cast("int").alias("pos"),
+            F.when(F.col("id") % 2 == 0, -0.2).otherwise(0.2).alias("gross"),
+            F.lit(1.0).alias("breadth"),
+            F.lit(0.05).alias("stop_drawdown"),
+            F.lit(0.5).alias("stop_reentry_breadth"),
+        )
+        frame = pin(rows, "path")
+        start = time.perf_counter()
+        stopped = drawdown_stop(frame, "gross").where("stopped").count()
+        assert stopped > days / 3
+        return time.perf_counter() - start
+
+    seconds(1300)
+    assert seconds(10_400) < 6 * seconds(2_600) + 2

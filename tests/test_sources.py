@@ -64,11 +64,47 @@ def test_coverage_of_a_folder(spark, folder, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "failed")).count() == 1
 
 
-def test_other_headers_fail_instead_of_shifting_columns(spark, tmp_path):
+def test_each_file_has_a_header_of_its_own(spark, tmp_path):
     (tmp_path / "a.csv").write_text(HEADER + "2024-01-02,1,1,1,1.5,10,100\n" * 3)
-    (tmp_path / "b.csv").write_text("date,close,open\n2024-01-02,1,2\n")
-    with pytest.raises(Exception, match="CSV header"):
-        files.read_bar_files(spark, str(tmp_path)).collect()
+    (tmp_path / "b.csv").write_text("\ufeffdate,close,open,note\n\n2024-01-02,1,2,\"x, y\"\n2024-01-03,,\n")
+    nested = tmp_path / "symbol=000009"
+    nested.mkdir()
+    (nested / "part-0.csv").write_text("close,date\n7,2024-01-02\n")
+    (nested / "part-1.csv").write_text("date,amount\n2024-01-03,5\n")
+    rows = files.read_bar_files(spark, str(tmp_path)).collect()
+    got = sorted((r.symbol, r.date.day, r.close or 0, r.open or 0, r.amount or 0) for r in rows)
+    assert got == [
+        ("000009", 2, 7.0, 0, 0),
+        ("000009", 3, 0, 0, 5.0),
+        *[("a", 2, 1.5, 1.0, 100.0)] * 3,
+        ("b", 2, 1.0, 2.0, 0),
+        ("b", 3, 0, 0, 0),
+    ]
+    sizes = {r.symbol: r.bytes for r in files.file_inventory(spark, str(tmp_path)).collect()}
+    assert set(sizes) == {"000009", "a", "b"}
+    (tmp_path / "c.csv").write_text("day,close\n2024-01-02,1\n")
+    with pytest.raises(ValueError, match="missing column date"):
+        files.read_bar_files(spark, str(tmp_path))
+
+
+def test_row_order_grows_over_the_splits_of_a_file(spark, tmp_path):
+    (tmp_path / "big.csv").write_text("n\n" + "".join(f"{k}\n" for k in range(60_000)))
+    for k in range(40):
+        (tmp_path / f"small{k:02d}.csv").write_text("n\n" + "1\n2\n3\n")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        lines = spark.read.text(str(tmp_path)).select(
+            "value", F.col("_metadata.file_name").alias("file"), files.file_order().alias("seq")
+        )
+        assert lines.rdd.getNumPartitions() > 10
+        rows = lines.where("file = 'big.csv' AND value <> 'n'").orderBy("seq").collect()
+    finally:
+        for key, value in old.items():
+            spark.conf.set(key, value)
+    assert [int(r.value) for r in rows] == list(range(60_000))
+    assert len({r.seq for r in rows}) == 60_000
 
 
 def test_optional_columns_may_be_absent(spark, tmp_path):

@@ -7,12 +7,11 @@ import time
 from pathlib import Path
 
 import duckdb
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from panelwright.scratch import release
 from panelwright.session import build_session
-from workload.oracle import SQL
-from workload.queries import QUERIES
+from workload.registry import QUERIES, SQL
 
 DEFAULT_DIR = "/root/testdata/sf0.01"
 
@@ -31,10 +30,13 @@ def _ordered(columns: list[str], rows: list[tuple]) -> list[tuple]:
 
 
 def compare(spark: SparkSession, connection, sf_dir: str, name: str) -> str | None:
-    """None when Spark and SQL agree in columns and every value, else what differs."""
-    frame = QUERIES[name](spark, sf_dir)
+    """None when a query and its SQL agree in columns and every value, else what differs."""
+    return differences(QUERIES[name](spark, sf_dir), connection, SQL[name])
+
+
+def differences(frame: DataFrame, connection, sql: str) -> str | None:
     actual = [tuple(row) for row in frame.collect()]
-    cursor = connection.execute(SQL[name])
+    cursor = connection.execute(sql)
     columns = [item[0] for item in cursor.description]
     expected = cursor.fetchall()
     if sorted(columns) != sorted(frame.columns):

@@ -125,3 +125,8 @@ CORE_SCENARIOS = (
         stop_reentry_breadth=0.2,
     ),
 )
+
+# Words of names that hit each default class rule, and one that hits none.
+CLASS_WORDS = (
+    "货币", "短融", "黄金", "QDII", "红利", "中证", "半导体", "零钱", "信用", "油气", "纳指", "价值", "1000",
+)
