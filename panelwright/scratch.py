@@ -27,11 +27,12 @@ def scratch_root(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/panelwright/{spark.sparkContext.applicationId}"
 
 
-def pin(frame: DataFrame, label: str = "table") -> DataFrame:
+def pin(frame: DataFrame, label: str = "table", compression: str | None = None) -> DataFrame:
     """Write ``frame`` once and return a scan of the written table."""
     spark = frame.sparkSession
     path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
-    frame.write.mode("errorifexists").parquet(path)
+    options = {"compression": compression} if compression else {}
+    frame.write.mode("errorifexists").options(**options).parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
 
 
