@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 from panelwright.llm.decontamination import contaminated_passages
 from panelwright.llm.hilbert import hilbert_shards
+from panelwright.llm.html_text import main_text
 from panelwright.llm.language_model import score_documents
 from panelwright.llm.mixing import mix_sources
 from panelwright.llm.near_dup import near_duplicates
 from panelwright.llm.packing import packed_rows
+from panelwright.llm.quality import judge_quality
+from panelwright.llm.secrets import find_secrets
 from panelwright.llm.toxicity import toxicity
 
 #: A public byte-level BPE vocabulary.
@@ -73,3 +76,21 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log probabilities of all documents under an n-gram model of six sevenths of them."""
     return score_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    return main_text(table(spark, sf_dir, "pages"))
+
+
+@query
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality counts and verdicts of all documents."""
+    return judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates for secrets in all documents, with the forest's verdicts."""
+    return find_secrets(table(spark, sf_dir, "documents"))
