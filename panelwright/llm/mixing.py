@@ -19,7 +19,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Characters that lower a document's quality weight.
 SYMBOLS = "#*$%&|<>"
 #: Documents of a source that are sorted together, about.
-BUCKET_ROWS = 50_000
+BUCKET_ROWS = 5_000
 
 
 def word_count(text: str = "text") -> Column:

@@ -3,3 +3,87 @@
 from __future__ import annotations
 
 SQL: dict[str, str] = {}
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORD = r"[^\x20\x09-\x0D]+"
+
+SQL["op3_mix_sources"] = rf"""
+WITH sized AS (
+    SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) AS size,
+           length(coalesce(text, '')) - length(translate(coalesce(text, ''), '#*$%&|<>', '')) AS symbols
+    FROM documents
+),
+draws AS (
+    SELECT doc_id, source, size,
+           -ln((('0x' || substr(md5('0:' || coalesce(doc_id::VARCHAR, 'null')), 1, 12))::BIGINT + 0.5::DOUBLE)
+               / 281474976710656.0::DOUBLE)
+           / greatest(0.05::DOUBLE, 1 - symbols::DOUBLE / greatest(size, 1)) AS k
+    FROM sized
+),
+sources AS (
+    SELECT source, sum(size)::BIGINT AS total,
+           [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS weight
+    FROM draws GROUP BY source
+),
+ranked AS (
+    SELECT *, (sum(total) OVER ()
+               - coalesce(sum(3.0::DOUBLE * total) OVER (ORDER BY 3.0::DOUBLE * total / weight, source NULLS LAST
+                          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+              / sum(weight) OVER (ORDER BY 3.0::DOUBLE * total / weight, source NULLS LAST
+                          ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+    FROM sources
+),
+targets AS (
+    SELECT source, total,
+           least(3.0::DOUBLE * total,
+                 weight * max(CASE WHEN level <= 3.0::DOUBLE * total / weight THEN level END) OVER ()) AS target
+    FROM ranked
+),
+plan AS (
+    SELECT *, CASE WHEN total > 0 THEN floor(target / total) ELSE 0 END::INTEGER AS epochs FROM targets
+),
+prefixed AS (
+    SELECT d.*, p.total, p.target, p.epochs,
+           sum(d.size) OVER (PARTITION BY d.source ORDER BY k, d.doc_id NULLS FIRST, d.size
+                             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - d.size AS before
+    FROM draws d JOIN plan p ON d.source IS NOT DISTINCT FROM p.source
+),
+chosen AS (
+    SELECT *, epochs + bool_or(before + size / 2.0::DOUBLE < target - epochs * total)
+                       OVER (PARTITION BY source, k, doc_id, size)::INTEGER AS repeats
+    FROM prefixed
+)
+SELECT doc_id, size::BIGINT AS size, total AS source_size, target, (size * repeats)::BIGINT AS taken,
+       repeats::INTEGER AS repeats
+FROM chosen
+"""
+
+SQL["op6_minhash_near_dup"] = rf"""
+WITH RECURSIVE split AS (
+    SELECT doc_id, regexp_extract_all({_LOWER}, '{_WORD}') AS w FROM documents
+),
+shingles AS (
+    SELECT DISTINCT doc_id, array_to_string(w[i : i + 2], ' ') AS s
+    FROM split, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS t(i)
+    WHERE len(w) > 0
+),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n
+    FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL
+),
+links AS (
+    SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+    WHERE 100 * common.n >= 85 * (x.n + y.n - common.n)
+),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(doc_id, other) AS (
+    SELECT DISTINCT a, a FROM both_ways
+    UNION
+    SELECT r.doc_id, e.b FROM reach r JOIN both_ways e ON e.a = r.other
+),
+roots AS (SELECT doc_id, min(other) AS root FROM reach GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(root, d.doc_id) AS component_id,
+       d.doc_id = coalesce(root, d.doc_id) AS kept
+FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN roots USING (doc_id)
+"""
