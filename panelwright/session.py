@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
+import tempfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 DEFAULTS = {
@@ -24,3 +28,19 @@ def build_session(
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Send this package to the executors, once for an application.
+
+    Operators that run Python in tasks need it there; a job that was submitted with the package in
+    ``--py-files`` does not need the call, and it does no harm.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_panelwright_code", None) == context.applicationId:
+        return
+    package = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="panelwright-code-")
+    archive = shutil.make_archive(f"{folder}/panelwright", "zip", package.parent, package.name)
+    context.addPyFile(archive)
+    context._panelwright_code = context.applicationId
