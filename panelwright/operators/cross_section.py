@@ -39,8 +39,3 @@ def composite(weights: Sequence[tuple[str, float]]) -> Column:
     for term in terms[1:]:
         result = result + term
     return result
-
-
-def breadth(in_trend: Column, risk_symbols: Column) -> Column:
-    """Aggregate: rows in trend over all risk symbols of the panel, listed or not."""
-    return ratio(F.count_if(in_trend).cast("double"), risk_symbols.cast("double"))

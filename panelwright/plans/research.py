@@ -459,33 +459,83 @@ def scenario_axis(
     )
 
 
-def _run_mode(
-    prices: DataFrame,
+def _pin_modes(frames: Mapping[str, DataFrame], label: str) -> dict[str, DataFrame]:
+    """Pin one table for all price modes, in one job, and return each mode's rows."""
+    if len(frames) == 1:
+        return {mode: pin(frame, label) for mode, frame in frames.items()}
+    marked = [frame.withColumn("price_mode", F.lit(mode)) for mode, frame in frames.items()]
+    stored = pin(
+        reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), marked), label
+    )
+    return {
+        mode: stored.where(F.col("price_mode") == mode).select(*frame.columns)
+        for mode, frame in frames.items()
+    }
+
+
+def _run_modes(
+    prices_by_mode: Mapping[str, DataFrame],
     classes: DataFrame,
-    scenarios: Sequence[Scenario],
+    scenarios_by_mode: Mapping[str, Sequence[Scenario]],
+    spec: SignalSpec,
+) -> list[tuple[DataFrame, DataFrame, DataFrame]]:
+    """Daily series, orders and weights of each price mode; the modes share every job."""
+    modes = list(scenarios_by_mode)
+    prices = {
+        mode: prices_by_mode[mode].select(
+            "symbol",
+            "date",
+            finite(F.col("close")).alias("close"),
+            finite(F.col("amount")).alias("amount"),
+        )
+        for mode in modes
+    }
+    spark = classes.sparkSession
+    windows = {m: sorted({s.trend_window for s in scenarios_by_mode[m]}) for m in modes}
+    tables = {m: scenario_tables(spark, scenarios_by_mode[m]) for m in modes}
+    calendars = _pin_modes({m: slot_calendar(prices[m]) for m in modes}, "calendar")
+    measured = _pin_modes(
+        {m: research_signals(prices[m], classes, calendars[m], windows[m], spec) for m in modes},
+        "signals",
+    )
+    signals = {m: refuse_repeated(measured[m]) for m in modes}
+    markets = _pin_modes(
+        {m: market_by_date(signals[m], calendars[m], windows[m], spec) for m in modes}, "market"
+    )
+    ordered = _pin_modes(
+        {
+            m: selection_orders(
+                scored_candidates(signals[m], markets[m], windows[m], spec),
+                markets[m],
+                tables[m],
+                scenarios_by_mode[m],
+            )
+            for m in modes
+        },
+        "orders",
+    )
+    targets = _pin_modes({m: target_weights(ordered[m], tables[m]) for m in modes}, "targets")
+    return [
+        _mode_results(
+            signals[m], markets[m], ordered[m], targets[m], tables[m], windows[m],
+            any(s.stop_drawdown > 0 for s in scenarios_by_mode[m]), spec,
+        )
+        for m in modes
+    ]
+
+
+def _mode_results(
+    signals: DataFrame,
+    market: DataFrame,
+    ordered: DataFrame,
+    targets: DataFrame,
+    tables: ScenarioTables,
+    trend_windows: Sequence[int],
+    with_stop: bool,
     spec: SignalSpec,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    spark = prices.sparkSession
-    prices = prices.select(
-        "symbol",
-        "date",
-        finite(F.col("close")).alias("close"),
-        finite(F.col("amount")).alias("amount"),
-    )
-    trend_windows = sorted({s.trend_window for s in scenarios})
-    tables = scenario_tables(spark, scenarios)
-    calendar = pin(slot_calendar(prices), "calendar")
-    signals = refuse_repeated(
-        pin(research_signals(prices, classes, calendar, trend_windows, spec), "signals")
-    )
-    market = pin(market_by_date(signals, calendar, trend_windows, spec), "market")
-    candidates = scored_candidates(signals, market, trend_windows, spec)
-    ordered = pin(selection_orders(candidates, market, tables, scenarios), "orders")
-    targets = pin(target_weights(ordered, tables), "targets")
     gross = performance.unit_gross(targets, signals)
-    axis = scenario_axis(
-        market, gross, tables, trend_windows, any(s.stop_drawdown > 0 for s in scenarios), spec
-    )
+    axis = scenario_axis(market, gross, tables, trend_windows, with_stop, spec)
     daily = performance.daily_result(
         axis,
         performance.switch_legs(targets, rebalance_dates(market)),
@@ -518,9 +568,7 @@ def run_research(
     by_mode: dict[str, list[Scenario]] = {}
     for scenario in scenarios:
         by_mode.setdefault(scenario.price_mode, []).append(scenario)
-    runs = [
-        _run_mode(prices_by_mode[mode], classes, group, spec) for mode, group in by_mode.items()
-    ]
+    runs = _run_modes(prices_by_mode, classes, by_mode, spec)
     daily, orders, weights = (
         reduce(DataFrame.unionByName, parts) for parts in zip(*runs, strict=True)
     )

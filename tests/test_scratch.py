@@ -20,6 +20,20 @@ def test_a_small_pinned_side_is_broadcast_without_a_hint(spark):
     assert "BroadcastHashJoin" in plan
 
 
+def test_a_run_is_released_alone(spark):
+    with scratch.Run(spark) as first:
+        a = scratch.pin(spark.range(3))
+    with scratch.Run(spark) as second:
+        b = scratch.pin(spark.range(4))
+    c = scratch.pin(spark.range(5))
+    first.release()
+    with pytest.raises(Exception, match="(?i)not_exist|does not exist|no such"):
+        spark.read.parquet(a.inputFiles()[0]).count()
+    assert (b.count(), c.count()) == (4, 5)
+    second.release()
+    assert c.count() == 5
+
+
 def test_a_cluster_needs_a_shared_folder():
     class Conf:
         def get(self, key, default):

@@ -6,14 +6,28 @@ rows, and every weight is spread over its dates before returns and turnover are
 
 from __future__ import annotations
 
-from panelwright.functions.classify import DEFAULT_CLASS, DEFAULT_RULES, Rules
-from panelwright.operators.coverage import NO_FILE
+from collections.abc import Sequence
+
 from panelwright.plans.research import Scenario, SignalSpec
 from panelwright.plans.rotation import RotationConfig
 from workload import settings
 
 SQL: dict[str, str] = {}
 
+Rules = Sequence[tuple[str, Sequence[str]]]
+# Fixed values, stated here apart from the library: the default class rules in order of precedence,
+# the class of all other names, and the reason given for a missing file.
+DEFAULT_RULES: Rules = (
+    ("cash", ("货币", "快线", "添益", "零钱")),
+    ("bond", ("债", "国债", "信用", "短融", "中短")),
+    ("commodity", ("黄金", "有色", "商品", "原油", "油气")),
+    ("overseas", ("恒生", "港股", "纳指", "纳斯达克", "标普", "美国", "全球", "qdii")),
+    ("equity_dividend", ("红利", "股息", "价值")),
+    ("equity_broad", ("沪深", "中证", "上证", "深证", "创业板", "科创", "50etf", "300", "500", "1000")),
+)
+DEFAULT_CLASS = "equity_thematic"
+NO_FILE = "未找到历史文件"
+
 
 def fixed(value: str) -> str:
     return f"floor(({value}) * 1e6 + {settings.ROUND_SHIFT}) / 1e6"
