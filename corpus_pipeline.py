@@ -11,9 +11,11 @@ from panelwright.llm.packing import packed_rows
 from panelwright.llm.queries import VOCABULARY
 from panelwright.llm.toxicity import drop_toxic
 from panelwright.scratch import pin
+from panelwright.session import ship_code
 
 
 def toxic_documents_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship_code(spark)
     return drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from panelwright.llm.packing import packed_rows
 from panelwright.llm.quality import judge_quality
 from panelwright.llm.secrets import find_secrets
 from panelwright.llm.toxicity import toxicity
+from panelwright.session import ship_code
 
 #: A public byte-level BPE vocabulary.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -26,8 +28,13 @@ QUERIES: dict[str, Query] = {}
 
 
 def query(function: Query) -> Query:
-    QUERIES[function.__name__] = function
-    return function
+    @wraps(function)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship_code(spark)
+        return function(spark, sf_dir)
+
+    QUERIES[function.__name__] = run
+    return run
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
