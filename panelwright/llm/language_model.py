@@ -28,9 +28,9 @@ from panelwright.llm.toxicity import id_remainder
 from panelwright.scratch import pin
 
 #: Tokens of a block, about; a block holds whole texts.
-BLOCK_TOKENS = 2_000_000
+BLOCK_TOKENS = 1_000_000
 #: Tokens of the corpus for each shard.
-SHARD_TOKENS = 6_000_000
+SHARD_TOKENS = 2_500_000
 #: Unseen observations in each context.
 STRENGTH = 50.0
 #: A context is dealt by successors if it makes up this part of a shard's tokens.
@@ -63,7 +63,12 @@ def _blocks(batches: Iterator[pa.RecordBatch], block_tokens: int) -> Iterator[pa
         counts = np.concatenate([x[1] for x in gathered])
         docs = pa.concat_arrays([x[2] for x in gathered])
         held = np.concatenate([x[3] for x in gathered])
-        vocabulary, ids = np.unique(h, return_inverse=True)
+        vocabulary, ids, times = np.unique(h, return_inverse=True, return_counts=True)
+        # frequent words first: their small numbers compress well
+        frequent = np.argsort(-times, kind="stable")
+        rank = np.empty(len(frequent), np.uint32)
+        rank[frequent] = np.arange(len(frequent))
+        vocabulary, ids = vocabulary[frequent], rank[ids]
         ptr = np.concatenate([[0], np.cumsum(counts)])
         # null ids travel as a flag beside the number
         numbers = np.stack([docs.fill_null(0).to_numpy(), docs.is_null().to_numpy(zero_copy_only=False)])
@@ -76,7 +81,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], block_tokens: int) -> Iterator[pa
             _press(held),
             _press(ptr),
             _press(vocabulary),
-            _press(ids.astype(np.uint32)),
+            _press(ids),
         ]
         names = [c.split()[0] for c in BLOCK.split(", ")]
         return pa.RecordBatch.from_arrays([pa.array([v]) for v in values], names)
@@ -101,7 +106,7 @@ class Block:
     def __init__(self, row: dict):
         self.ptr = _open(row["ptr"], np.int64)
         self.held = _open(row["held"], bool)
-        self.vocabulary = _open(row["vocabulary"], U64)
+        self.vocabulary = _open(row["vocabulary"], U64)  # by falling frequency
         self.ids = _open(row["ids"], np.uint32).astype(np.int64)
         self.trained = np.repeat(~self.held, np.diff(self.ptr))
 
@@ -238,11 +243,14 @@ def score_documents(
     def send_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _each_block(batches):
             block = Block(row)
-            counts = block.word_counts().astype(np.uint32)
-            shard = shard_of(block.vocabulary, shards)
+            order = np.argsort(block.vocabulary)
+            keys, counts = block.vocabulary[order], block.word_counts().astype(np.uint32)[order]
             none = _press(np.empty(0, np.uint32))
             yield _rows(
-                [(s, row["block"], _press(block.vocabulary[a:b]), none, _press(counts[a:b])) for s, a, b in _slices(shard)],
+                [
+                    (s, row["block"], _press(keys[a:b]), none, _press(counts[a:b]))
+                    for s, a, b in _slices(shard_of(keys, shards))
+                ],
                 _SENT,
             )
 
@@ -284,11 +292,13 @@ def score_documents(
         right = right.sort_by([("level", "ascending"), ("shard", "ascending")])
         level = right.column("level").to_numpy()
         parts = [x.as_py() for x in right.column("answer")]
-        counts = np.concatenate([_open(p, np.uint32) for p, k in zip(parts, level, strict=True) if k == 1])
+        sorted_counts = np.concatenate([_open(p, np.uint32) for p, k in zip(parts, level, strict=True) if k == 1])
         codes = np.concatenate([_open(p, np.uint16) for p, k in zip(parts, level, strict=True) if k == 2])
         row = {name: left.column(name)[0].as_py() for name in left.schema.names}
         block = Block(row)
         ids, ptr = block.ids, block.ptr
+        counts = np.empty(len(sorted_counts), np.uint32)
+        counts[np.argsort(block.vocabulary)] = sorted_counts
         _, _, _, of_token = block.pairs(shards, hot_keys)
         word_p = (counts + 1.0) / (n + v + 1.0)
         own = word_p[ids]
