@@ -158,8 +158,8 @@ _ANSWER = pa.schema([("block", pa.int64()), ("level", pa.int32()), ("shard", pa.
 ANSWER = "block long, level int, shard long, answer binary, total long, types long"
 
 
-def _word_counts(table: pa.Table) -> pa.Table:
-    """Add up the words of a shard; answer each block, and tell the shard's totals."""
+def _word_counts(table: pa.Table, least: float) -> pa.Table:
+    """Add up the words of a shard; answer each block, and tell the shard's totals and hot words."""
     keys = [_open(k.as_py(), U64) for k in table.column("keys")]
     counts = [_open(c.as_py(), np.uint32) for c in table.column("counts")]
     known, slot = np.unique(np.concatenate(keys), return_inverse=True)
@@ -170,9 +170,9 @@ def _word_counts(table: pa.Table) -> pa.Table:
         (block.as_py(), 1, shard, _press(total[slot[a:b]].astype(np.uint32)), 0, 0)
         for block, a, b in zip(table.column("block"), cuts, cuts[1:], strict=False)
     ]
-    frequent = np.argsort(-total, kind="stable")[:64]
-    pack = np.stack([known[frequent], total[frequent].astype(U64)])
-    rows.append((-1, 1, shard, _press(pack), int(total.sum()), int((total > 0).sum())))
+    hot = np.flatnonzero(total >= least)
+    pack = _press(np.stack([known[hot], total[hot].astype(U64)])) if len(hot) else None
+    rows.append((-1, 1, shard, pack, int(total.sum()), int((total > 0).sum())))
     return pa.Table.from_batches([_rows(rows, _ANSWER)])
 
 
@@ -236,9 +236,11 @@ def score_documents(
         "text",
     )
     blocks = pin(texts.mapInArrow(lambda rows: _blocks(rows, block_tokens), BLOCK), "blocks")
-    sums = blocks.agg(F.sum("n_tokens"), F.sum("n_docs_trained")).first()
-    all_tokens, trained_docs = int(sums[0] or 0), int(sums[1] or 0)
+    sums = blocks.agg(F.sum("n_tokens"), F.sum("trained"), F.sum("n_docs_trained")).first()
+    all_tokens, n, trained_docs = (int(x or 0) for x in sums)
     shards = max(1, -(-all_tokens // shard_tokens))
+    # a context with this many tokens would fill a large part of one shard; there are few of them
+    least = max(1.0, HOT_PART * n / shards)
 
     def send_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _each_block(batches):
@@ -254,13 +256,15 @@ def score_documents(
                 _SENT,
             )
 
-    words = pin(blocks.mapInArrow(send_words, SENT).groupBy("shard").applyInArrow(_word_counts, ANSWER), "word-counts")
-    totals = words.where("block = -1").select("answer", "total", "types").collect()  # one row for each shard
-    n, v = sum(r.total for r in totals), sum(r.types for r in totals)
-    # a context with this many tokens would fill a large part of one shard; there are few of them
-    least = max(1.0, HOT_PART * n / shards)
-    frequent = [_open(r.answer, U64).reshape(2, -1) for r in totals]
-    hot = {int(k): int(c) for f in frequent for k, c in zip(f[0], f[1], strict=True) if c >= least}
+    def count_words(rows: pa.Table) -> pa.Table:
+        return _word_counts(rows, least)
+
+    words = pin(blocks.mapInArrow(send_words, SENT).groupBy("shard").applyInArrow(count_words, ANSWER), "word-counts")
+    v = int(words.where("block = -1").agg(F.sum("types")).first()[0] or 0)
+    # at most 16 words for each shard are that frequent
+    frequent = words.where("block = -1 AND answer IS NOT NULL").select("answer").collect()
+    packs = [_open(r.answer, U64).reshape(2, -1) for r in frequent]
+    hot = {int(k): int(c) for pack in packs for k, c in zip(pack[0], pack[1], strict=True)}
     hot.pop(int(END), None)
     hot[int(BEGIN)] = trained_docs
     hot_keys = np.array(sorted(hot), U64)
