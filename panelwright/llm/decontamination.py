@@ -98,8 +98,8 @@ def contaminated_passages(documents: DataFrame, benchmark: DataFrame) -> DataFra
     Words are lower-cased (A-Z) runs without white space or ASCII punctuation. A row says that the
     document's ``n_words`` words from ``first_word`` lie on the item with ``n_same`` equal words: at
     least 13, or three quarters of an item shorter than that. One row for each document row, item and
-    diagonal. Null or empty texts and items hold nothing; a null doc_id is reported as null, and
-    ``text_key`` tells such rows apart; repeated rows are reported each; the benchmark may repeat
+    diagonal. Null or empty texts and items hold nothing; null ids are reported as null, and
+    ``text_key`` tells documents without one apart; repeated rows are reported each; the benchmark may repeat
     items. Other columns are not read. Without items or documents the result is empty.
     """
     items = pin(

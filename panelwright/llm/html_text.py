@@ -47,7 +47,7 @@ DROPPED = {
 }
 DROPPED_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu"}
 DROPPED_LABELS = set(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promotion banner cookie "
+    "ad ads adsbygoogle adv advert adverts advertisement advertising alert alerts disclaimer sponsor sponsored sponsors promo promotion banner cookie "
     "cookies consent gdpr notice notices sidebar widget widgets menu menus nav navbar navigation breadcrumb "
     "breadcrumbs footer comment comments commentlist disqus respond replies share sharing social related "
     "recommended recommendations newsletter subscribe subscription signup login popup modal overlay pagination "
