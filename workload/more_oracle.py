@@ -108,3 +108,4 @@ SELECT name, CASE
     WHEN regexp_matches(name, '中证|1000') THEN 'equity_broad'
     ELSE 'equity_thematic' END AS asset_class, parts
 FROM counted"""
+SQL["rotation_files"] = SQL["rotation_daily"]

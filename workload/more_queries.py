@@ -15,6 +15,7 @@ from panelwright.operators.asof import asof_backward
 from panelwright.operators.cleaning import keep_last
 from panelwright.operators.panel import duplicate_keys
 from panelwright.plans import quality as quality_plan
+from panelwright.plans import rotation
 from panelwright.plans.adjustment import adjusted_prices, build_total_return
 from panelwright.scratch import pin, scratch_root
 from panelwright.sources import files, sinks, wide
@@ -226,3 +227,15 @@ def classify_names(spark, sf_dir):
     return parts.groupBy(name.alias("name")).agg(F.count(F.lit(1)).alias("parts")).select(
         "name", asset_class(F.col("name")).alias("asset_class"), "parts"
     )
+
+
+@query
+def rotation_files(spark, sf_dir):
+    """The rotation's daily series as its report writes it, read back."""
+    path = _folder(spark, "rotation")
+    bars = pin(adapters.type_bars(spark, sf_dir).select("symbol", "date", "close"), "bars")
+    rotation.rotation_report(bars, settings.DEFENSIVE, path, settings.ROTATION)
+    kinds = {"date": "date", "gross_return": "double", "turnover": "double", "cost": "double", "net_return": "double", "nav": "double"}
+    stored = spark.read.option("header", True).csv(f"{path}/daily")
+    typed = stored.select("scenario_id", *[F.col(name).cast(kind).alias(name) for name, kind in kinds.items()])
+    return _fixed_columns(typed, *list(kinds)[1:])
