@@ -3,10 +3,13 @@
 Every document is a set of word shingles. Documents with equal sets form a class at once. Class
 representatives then walk several independent trees: a tree's root sends a document along the
 smallest shingle under the tree's own hash order (its minwise shingle), so similar documents share
-a node with the probability of their similarity. A node that is still large branches again, each
-document along several further minwise shingles, until nodes are small; small nodes are compared
-exhaustively on full sets. The number of trees follows from the recall asked for. A node that stays
-large at the last level (documents that resemble each other all over) is compared in pairs of
+a node with the probability of their similarity. A node that is still large is first cut by size of
+set, without loss: similar sets have sizes of one class or two neighbouring ones. If that is not
+enough it branches again, each document along further minwise shingles, until nodes are small. In a small node all pairs
+are compared on their minwise signatures, which leaves the groups that may hold a link (most nodes
+have none: they share a common line), and those groups are compared exhaustively on full sets. The
+number of trees and the signature agreement asked for follow from the recall asked for. A node that
+stays large at the last level (documents that resemble each other all over) is compared in pairs of
 blocks, so nothing is capped.
 """
 
@@ -26,9 +29,11 @@ from panelwright.llm.components import connected_components
 from panelwright.scratch import pin
 
 #: Branches of a node that is too large, and how often a path may branch.
-BRANCHES, LEVELS = 3, 3
+BRANCHES, LEVELS = 2, 3
 #: Nodes up to this size are compared exhaustively.
-NODE_LIMIT = 512
+NODE_LIMIT = 3072
+#: Minwise shingles in a signature, at least.
+SIGNATURE = 64
 
 
 def _sketch(batches: Iterator[pa.RecordBatch], width: int, coordinates: int) -> Iterator[pa.RecordBatch]:
@@ -39,7 +44,7 @@ def _sketch(batches: Iterator[pa.RecordBatch], width: int, coordinates: int) ->
             for k in range(coordinates):
                 order = tokens.mix(values, k + 1)
                 signature[:, k] = tokens.per_doc(np.minimum, order, ptr)
-            flat = pa.array(tokens.signed(signature.reshape(-1)))
+            flat = pa.array((signature >> np.uint64(8)).astype(np.uint32).view(np.int32).reshape(-1))
             offsets = pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * coordinates)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -91,74 +96,144 @@ def _linked(values: np.ndarray, ptr: np.ndarray, numerator: int, denominator: in
     return groups
 
 
+def _whole_nodes(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """Rows come sorted by node; tables of about so many rows that hold every node whole."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        for first in range(0, batch.num_rows, rows):
+            part = batch.slice(first, rows)
+            nodes = part.column("node").to_numpy()
+            last = int(np.flatnonzero(nodes != nodes[-1])[-1]) + 1 if nodes[0] != nodes[-1] else 0
+            if held and last == 0 and held[-1].column("node")[-1].as_py() == nodes[-1]:
+                held.append(part)  # the node that was open goes through this part
+                continue
+            ready = [*held, part.slice(0, last)]
+            if sum(x.num_rows for x in ready):
+                yield pa.Table.from_batches(ready)
+            held = [part.slice(last)]
+    if sum(x.num_rows for x in held):
+        yield pa.Table.from_batches(held)
+
+
+def _runs(nodes: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.flatnonzero(nodes[1:] != nodes[:-1]) + 1, [len(nodes)]])
+
+
+def _groups(linked: np.ndarray) -> np.ndarray:
+    """Smallest member that links reach, of a square matrix of links."""
+    root = np.arange(len(linked))
+    open_ = linked.sum(1) > 1
+    for first in np.flatnonzero(open_).tolist():
+        if not open_[first]:
+            continue
+        edge = np.array([first])
+        open_[first] = False
+        while len(edge):
+            edge = np.flatnonzero(linked[edge].any(0) & open_)
+            open_[edge] = False
+            root[edge] = first
+    return root
+
+
+def _likely(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Groups of each node's documents whose signatures agree often enough for a link."""
+    for table in _whole_nodes(batches, 20_000):
+        nodes = table.column("node").to_numpy()
+        ids = table.column("doc_id").to_numpy()
+        lists = table.column("minwise").combine_chunks()
+        minwise = lists.flatten().to_numpy().reshape(len(nodes), -1)
+        runs = _runs(nodes)
+        sizes = np.diff(runs)
+        group = np.full(len(nodes), -1, np.int64)
+        two = runs[:-1][sizes == 2]
+        near = two[(minwise[two] == minwise[two + 1]).sum(1) >= least]
+        group[near] = group[near + 1] = near
+        for first, size in zip(runs[:-1][sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
+            own = minwise[first : first + size]
+            same = np.zeros((size, size), np.uint8)
+            for k in range(own.shape[1]):
+                same += own[:, k, None] == own[None, :, k]
+            linked = same >= least
+            some = linked.sum(1) > 1
+            if some.any():
+                root = _groups(linked)
+                group[first : first + size][some] = first + root[some]
+        keep = np.flatnonzero(group >= 0)
+        # a group goes by its node and its first member
+        name = tokens.mix(nodes[keep].view(np.uint64) ^ tokens.mix(ids[group[keep]].view(np.uint64), 3), 4)
+        yield pa.RecordBatch.from_arrays([pa.array(tokens.signed(name)), pa.array(ids[keep])], ["node", "doc_id"])
+
+
 def _compare(
     batches: Iterator[pa.RecordBatch], width: int, numerator: int, denominator: int
 ) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by node; a node may reach over several batches."""
-
-    def links(table: pa.Table) -> tuple[list[int], list[int]]:
+    """Links that hold every connected group of a node's documents together."""
+    for table in _whole_nodes(batches, 2_000):
         a, b = [], []
         ids = table.column("doc_id").to_numpy()
-        nodes = table.column("node").to_numpy()
-        cut = np.flatnonzero(np.diff(nodes)) + 1
+        runs = _runs(table.column("node").to_numpy())
         values, ptrs = [], [np.zeros(1, np.int64)]
-        for batch in table.select(["text"]).combine_chunks().to_batches():
+        for batch in table.select(["text"]).to_batches():
             for part in tokens.chunks(batch):
                 v, p = tokens.shingles(tokens.words_of(part.column("text")), width)
                 values.append(v)
                 ptrs.append(p[1:] + ptrs[-1][-1])
         values, ptr = np.concatenate(values), np.concatenate(ptrs)
-        for first, last in zip([0, *cut.tolist()], [*cut.tolist(), len(nodes)], strict=True):
+        for first, last in zip(runs[:-1].tolist(), runs[1:].tolist(), strict=True):
             own = ptr[first : last + 1]
             for group in _linked(values[own[0] : own[-1]], own - own[0], numerator, denominator):
                 members = ids[first:last][group]
-                least = int(members.min())
-                a += [int(x) for x in members if x != least]
-                b += [least] * sum(1 for x in members if x != least)
-        return a, b
+                least = members.min()
+                a += members[members != least].tolist()
+                b += [int(least)] * int((members != least).sum())
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    def out(table: pa.Table) -> pa.RecordBatch:
-        a, b = links(table)
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        for part in tokens.chunks(batch, size=4 * tokens.CHUNK_BYTES):
-            nodes = part.column("node").to_numpy()
-            if held and held[-1].column("node")[-1].as_py() == nodes[0]:
-                # hold back until the node that may go on has ended
-                same = int(np.searchsorted(nodes != nodes[0], True))
-                held.append(part.slice(0, same))
-                part = part.slice(same)
-                if not part.num_rows:
-                    continue
-                nodes = nodes[same:]
-            if held:
-                yield out(pa.Table.from_batches(held))
-            tail = int(np.flatnonzero(nodes != nodes[-1])[-1]) + 1 if (nodes != nodes[-1]).any() else 0
-            if tail:
-                yield out(pa.Table.from_batches([part.slice(0, tail)]))
-            held = [part.slice(tail)]
-    if held:
-        yield out(pa.Table.from_batches(held))
+def _sized(paths: DataFrame) -> DataFrame:
+    """Paths with the number of documents at their node; lone documents have nothing to meet.
 
+    Nor have guests alone: they meet in their own class.
+    """
+    sizes = paths.groupBy("node").agg(F.count("*").alias("members"), F.max("host").alias("hosts"))
+    return paths.drop("host").join(sizes.where("members > 1 AND hosts").drop("hosts"), "node")
 
-def _sized(paths: DataFrame) -> DataFrame:
-    """Paths with the number of documents at their node; lone documents have nothing to meet."""
-    sizes = paths.groupBy("node").agg(F.count("*").alias("members")).where("members > 1")
-    return paths.join(sizes, "node")
+
+def _by_size(paths: DataFrame, similarity: float) -> DataFrame:
+    """Cut nodes by size of set; sets that are similar enough share a class or have neighbouring ones.
+
+    A document is host in its own class and guest in the next larger one.
+    """
+    own = F.floor(F.log("n_shingles") / (math.log(1 / similarity) + 1e-6))
+    both = F.array(F.struct(own.alias("class"), F.lit(True).alias("host")), F.struct((own + 1).alias("class"), F.lit(False).alias("host")))
+    return (
+        paths.select("*", F.inline(both))
+        .withColumn("node", F.xxhash64("node", "class", F.lit("size")))
+        .drop("class")
+    )
 
 
 def _branch(paths: DataFrame, choices: Column) -> DataFrame:
     """One row for every chosen minwise shingle of every document."""
     way = paths.select("*", F.explode(choices).alias("way"))
     node = F.xxhash64("node", "way", F.get("minwise", F.col("way")))
-    return way.withColumn("node", node).drop("way")
+    return way.withColumn("node", node).withColumn("host", F.lit(True)).drop("way")
 
 
 def trees_for(numerator: int, denominator: int, miss: float) -> int:
     """Independent trees so that a pair at the threshold meets in none with at most this probability."""
-    return max(1, math.ceil(math.log(miss) / math.log(1 - numerator / denominator)))
+    t = numerator / denominator
+    together = t * (1 - (1 - t) ** BRANCHES) ** LEVELS
+    return max(1, math.ceil(math.log(miss) / math.log(1 - together)))
+
+
+def agreement_for(numerator: int, denominator: int, coordinates: int, miss: float) -> int:
+    """Signature positions on which a pair at the threshold agrees but for this probability."""
+    t, below = numerator / denominator, 0.0
+    for agree in range(coordinates + 1):
+        below += math.comb(coordinates, agree) * t**agree * (1 - t) ** (coordinates - agree)
+        if below > miss:
+            return agree
+    return coordinates
 
 
 def near_duplicates(
@@ -180,11 +255,12 @@ def near_duplicates(
     ``documents``, whatever their names, are not read. An empty table gives an empty result.
     """
     trees = trees_for(numerator, denominator, miss)
+    coordinates = max(SIGNATURE, trees + BRANCHES * LEVELS)
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketches = pin(
         texts.mapInArrow(
-            partial(_sketch, width=shingle_words, coordinates=trees + BRANCHES * LEVELS),
-            "doc_id long, n_shingles long, set_a long, set_b long, minwise array<long>",
+            partial(_sketch, width=shingle_words, coordinates=coordinates),
+            "doc_id long, n_shingles long, set_a long, set_b long, minwise array<int>",
         ),
         "sketches",
     )
@@ -192,32 +268,41 @@ def near_duplicates(
     classes = usable.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("representative"))
     alone = usable.join(classes, F.col("doc_id") == F.col("representative"), "left_semi")
 
-    root = alone.select("doc_id", "minwise", F.lit(0).cast("long").alias("node"))
+    root = alone.select("doc_id", "n_shingles", "minwise", F.lit(0).cast("long").alias("node"))
     open_paths = pin(_sized(_branch(root, F.sequence(F.lit(0), F.lit(trees - 1)))), "paths")
     closed = []
-    for level in range(LEVELS + 1):
-        closed.append(open_paths.where(F.col("members") <= node_limit).select("node", "doc_id"))
+    for level in range(LEVELS + 2):
+        closed.append(open_paths.where(F.col("members") <= node_limit).select("node", "doc_id", "minwise"))
         large = open_paths.where(F.col("members") > node_limit)
         if large.isEmpty():
             break
-        if level == LEVELS:
+        if level > LEVELS:
             closed.append(_block_pairs(large, node_limit))
             break
-        first = trees + BRANCHES * level
-        ways = F.sequence(F.lit(first), F.lit(first + BRANCHES - 1))
-        open_paths = pin(_sized(_branch(large.drop("members"), ways)), "paths")
+        if level == 0:
+            narrower = _by_size(large.drop("members"), numerator / denominator)
+        else:
+            first = trees + BRANCHES * (level - 1)
+            narrower = _branch(large.drop("members"), F.sequence(F.lit(first), F.lit(first + BRANCHES - 1)))
+        open_paths = pin(_sized(narrower), "paths")
     nodes = closed[0]
     for more in closed[1:]:
         nodes = nodes.unionByName(more)
 
-    meetings = nodes.distinct()
+    agree = agreement_for(numerator, denominator, coordinates, miss)
+    likely = (
+        nodes.repartition("node")
+        .sortWithinPartitions("node")
+        .mapInArrow(partial(_likely, least=agree), "node long, doc_id long")
+    )
+    meetings = pin(likely.distinct(), "groups")
     marks = meetings.groupBy("node").agg(
         F.count("*").alias("n"),
         F.bit_xor(F.xxhash64("doc_id")).alias("x"),
         F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("y"),
     )
     once = marks.groupBy("n", "x", "y").agg(F.min("node").alias("node")).select("node")
-    meetings = pin(meetings.join(once, "node", "left_semi"), "nodes")
+    meetings = meetings.join(once, "node", "left_semi")
     edges = (
         meetings.join(texts.where("doc_id IS NOT NULL"), "doc_id")
         .repartition("node")
@@ -250,9 +335,9 @@ def _block_pairs(large: DataFrame, limit: int) -> DataFrame:
     own = F.pmod(F.xxhash64("doc_id", F.lit("block")), blocks.cast("long")).cast("int")
     return (
         large.withColumns({"blocks": blocks, "own": own})
-        .select("node", "doc_id", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        .select("node", "doc_id", "own", "minwise", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
         .select(
-            F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("node"), "doc_id"
+            F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("node"), "doc_id", "minwise"
         )
     )
 
