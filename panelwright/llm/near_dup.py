@@ -5,7 +5,8 @@ representatives then walk several independent trees: a tree's root sends a docum
 smallest shingle under the tree's own hash order (its minwise shingle), so similar documents share
 a node with the probability of their similarity. A node that is still large is first cut by size of
 set, without loss: similar sets have sizes of one class or two neighbouring ones. If that is not
-enough it branches again, each document along further minwise shingles, until nodes are small. In a small node all pairs
+enough it branches again, each document along further minwise shingles, until nodes are small. Every
+tree and level has minwise shingles of its own, so trees miss a pair independently. In a small node all pairs
 are compared on their minwise signatures, which leaves the groups that may hold a link (most nodes
 have none: they share a common line), and those groups are compared exhaustively on full sets. The
 number of trees and the signature agreement asked for follow from the recall asked for. A node that
@@ -21,7 +22,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelwright.llm import tokens
@@ -32,7 +33,7 @@ from panelwright.scratch import pin
 BRANCHES, LEVELS = 2, 3
 #: Nodes up to this size are compared exhaustively.
 NODE_LIMIT = 3072
-#: Minwise shingles in a signature, at least.
+#: Minwise shingles in a signature.
 SIGNATURE = 64
 
 
@@ -212,10 +213,25 @@ def _by_size(paths: DataFrame, similarity: float) -> DataFrame:
     )
 
 
-def _branch(paths: DataFrame, choices: Column) -> DataFrame:
-    """One row for every chosen minwise shingle of every document."""
-    way = paths.select("*", F.explode(choices).alias("way"))
-    node = F.xxhash64("node", "way", F.get("minwise", F.col("way")))
+def _roots(sets: DataFrame, trees: int) -> DataFrame:
+    """One row for every tree of every document: its signature, and the minwise shingles that only this tree branches along."""
+    turns = BRANCHES * LEVELS
+    tree = sets.select("*", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
+    return tree.select(
+        "doc_id",
+        "n_shingles",
+        F.slice("minwise", 1, SIGNATURE).alias("minwise"),
+        F.slice("minwise", F.lit(trees + 1) + F.col("tree") * turns, F.lit(turns)).alias("turns"),
+        F.xxhash64("tree", F.get("minwise", F.col("tree"))).alias("node"),
+        F.lit(True).alias("host"),
+    )
+
+
+def _branch(paths: DataFrame, level: int) -> DataFrame:
+    """One row for every minwise shingle that a path's own tree has for this level."""
+    first = BRANCHES * (level - 1)
+    way = paths.select("*", F.explode(F.sequence(F.lit(first), F.lit(first + BRANCHES - 1))).alias("way"))
+    node = F.xxhash64("node", "way", F.get("turns", F.col("way")))
     return way.withColumn("node", node).withColumn("host", F.lit(True)).drop("way")
 
 
@@ -255,7 +271,7 @@ def near_duplicates(
     ``documents``, whatever their names, are not read. An empty table gives an empty result.
     """
     trees = trees_for(numerator, denominator, miss)
-    coordinates = max(SIGNATURE, trees + BRANCHES * LEVELS)
+    coordinates = max(SIGNATURE, trees * (1 + BRANCHES * LEVELS))
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketches = pin(
         texts.mapInArrow(
@@ -268,8 +284,8 @@ def near_duplicates(
     classes = usable.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("representative"))
     alone = usable.join(classes, F.col("doc_id") == F.col("representative"), "left_semi")
 
-    root = alone.select("doc_id", "n_shingles", "minwise", F.lit(0).cast("long").alias("node"))
-    open_paths = pin(_sized(_branch(root, F.sequence(F.lit(0), F.lit(trees - 1)))), "paths")
+    roots = _roots(alone.select("doc_id", "n_shingles", "minwise"), trees)
+    open_paths = pin(_sized(roots), "paths")
     closed = []
     for level in range(LEVELS + 2):
         closed.append(open_paths.where(F.col("members") <= node_limit).select("node", "doc_id", "minwise"))
@@ -282,14 +298,13 @@ def near_duplicates(
         if level == 0:
             narrower = _by_size(large.drop("members"), numerator / denominator)
         else:
-            first = trees + BRANCHES * (level - 1)
-            narrower = _branch(large.drop("members"), F.sequence(F.lit(first), F.lit(first + BRANCHES - 1)))
+            narrower = _branch(large.drop("members"), level)
         open_paths = pin(_sized(narrower), "paths")
     nodes = closed[0]
     for more in closed[1:]:
         nodes = nodes.unionByName(more)
 
-    agree = agreement_for(numerator, denominator, coordinates, miss)
+    agree = agreement_for(numerator, denominator, SIGNATURE, miss)
     likely = (
         nodes.repartition("node")
         .sortWithinPartitions("node")

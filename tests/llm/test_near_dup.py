@@ -69,6 +69,23 @@ def test_large_nodes_branch_and_are_compared_in_blocks(spark):
     check(frame, texts, 5, 80, 100)
 
 
+def pairs_inside_one_template(n):
+    """Pairs at a similarity of exactly 0.8 on single words; two pairs have 0.64."""
+    texts, template = {}, [f"template{k}" for k in range(70)]
+    for i in range(2 * n):
+        own = [f"pair{i // 2}_{k}" for k in range(10)] + [f"own{i}_{k}" for k in range(10)]
+        texts[i] = " ".join(template + own)
+    return texts
+
+
+def test_trees_miss_pairs_of_a_large_node_independently(spark):
+    texts = pairs_inside_one_template(300)
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    rows = near_duplicates(frame, shingle_words=1, numerator=80, denominator=100, node_limit=100).collect()
+    assert len(rows) == len(texts)
+    assert [r.doc_id for r in rows if r.component_id != r.doc_id // 2 * 2] == []
+
+
 def test_awkward_rows(spark):
     rows = near_duplicates(awkward(spark), shingle_words=3, numerator=85).collect()
     assert len(rows) == 8
