@@ -6,8 +6,8 @@ suffix array over them finds long runs of words repeated on many distinct pages.
 template text and are removed; unique runs stay. Articles that pages mark as such and all other text
 are separate streams: quotations, licence lines and passages that some articles share are content, so
 in a marked article only what half of the host's articles repeat is a template, while in unmarked
-text a few pages suffice. Streams that are equal count once, so copies of a page do not make it a
-template. A host's streams are cut into parts of a bounded number of pages, so a host with a third of
+text a few pages suffice. Streams that are equal count once, and so do
+articles that are nearly equal, so copies of a page do not make it a template. A host's streams are cut into parts of a bounded number of pages, so a host with a third of
 all pages is no single task.
 """
 
@@ -34,7 +34,8 @@ PAGES, SHARE = 3, 0.02
 ARTICLES, ARTICLE_SHARE = 5, 0.5
 #: Pages of a host whose streams are sorted together.
 PART_PAGES = 500
-#: A page without an article element keeps its text if templates cover more of it than this.
+#: A page keeps its text if templates cover more of it than this; articles are nearly equal if common
+#: runs cover more of both.
 COVERED = 0.8
 #: Template runs (8 bytes each) up to this number are sent to every task; more are joined by host.
 SENT_RUNS = 2_000_000
@@ -262,6 +263,40 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(columns, names)
 
 
+def _covered(start: np.ndarray, n: int) -> np.ndarray:
+    """Which of n words lie in runs that begin at ``start``."""
+    edge = np.zeros(n + 1, np.int64)
+    np.add.at(edge, start, 1)
+    np.add.at(edge, start + RUN_WORDS, -1)
+    return np.cumsum(edge[:-1]) > 0
+
+
+def near_equal(page: np.ndarray, start: np.ndarray, run: np.ndarray, pages: np.ndarray) -> np.ndarray:
+    """For each page the first page that it nearly equals; ``pages`` tells on how many a run stands."""
+    unit = np.arange(int(page[-1]) + 1)
+    words = np.bincount(page)
+
+    def common(start: np.ndarray) -> np.ndarray:
+        return np.bincount(page, _covered(start, len(page)), len(unit))
+
+    rest = common(start[pages[run] > 1]) > COVERED * words
+    own = page[start]
+    mark = np.zeros(len(pages), bool)
+    for leader in np.flatnonzero(rest).tolist():
+        if not rest[leader]:
+            continue
+        keep = rest[own]
+        start, run, own = start[keep], run[keep], own[keep]
+        its = run[own == leader]
+        mark[its] = True
+        alike = rest & (common(start[mark[run]]) > COVERED * np.maximum(words, words[leader]))
+        mark[its] = False
+        alike[leader] = True
+        unit[alike] = leader
+        rest &= ~alike
+    return unit
+
+
 def _count_runs(table: pa.Table) -> pa.Table:
     """(host, kind, run, pages) of one part: runs of words and the distinct pages they stand on."""
     host, kind = table.column("host")[0].as_py(), table.column("kind")[0].as_py()
@@ -285,7 +320,11 @@ def _count_runs(table: pa.Table) -> pa.Table:
             pages = np.bincount(np.cumsum(head) - 1, fresh).astype(np.int64)
             first = start[head]
             if kind == MARKED:
-                often = pages >= max(ARTICLES, int(np.ceil(ARTICLE_SHARE * len(texts))))
+                run = np.cumsum(head) - 1
+                unit = near_equal(page, start, run, pages)
+                pairs = np.unique(run * len(unit) + unit[page[start]]) // len(unit)
+                pages, n = np.bincount(pairs), len(np.unique(unit))
+                often = pages >= max(ARTICLES, int(np.ceil(ARTICLE_SHARE * n)))
                 first, pages = first[often], pages[often]
             windows, _ = tokens.window_hash(stream, np.array([0, len(stream)]), RUN_WORDS)
             runs = tokens.mix(windows[first] ^ _host_key(host, kind), 21)
@@ -322,7 +361,7 @@ def _cleaned(own: pa.Array, hosts: list[str | None], marked: np.ndarray, known:
         covered = np.zeros(words.ptr[d + 1] - first, bool)
         for k in range(RUN_WORDS):
             covered[hit[page == d] - ptr[d] + k] = True
-        if not marked[d] and covered.mean() > COVERED:
+        if covered.mean() > COVERED:
             continue  # not a template but a page of which there are many
         lines, at = [], 0
         for line in texts[d].split("\n"):

@@ -89,6 +89,21 @@ def test_runs_repeated_on_a_hosts_pages_go(spark, monkeypatch, marked, join):
     assert got[200] == " ".join(f"c{j}" for j in range(30))  # nor do copies of one page
 
 
+def test_edited_copies_of_an_article_are_no_template(spark):
+    rows, want = [], {}
+    for k in range(20):
+        story = [f"story{j}" for j in range(150)]
+        for j in range(k, 150, 50):
+            story[j] = f"edit{k}_{j}"
+        more = " ".join(f"more{k}_{j}" for j in range(20))  # an eighth of the page is its own
+        want[k] = " ".join(story) + "\n" + more
+        rows.append((k, f"http://mirror.example/{k}", f"<article><p>{' '.join(story)}</p><p>{more}</p></article>"))
+    long = " ".join(f"story{j}" for j in range(60)) + " " + " ".join(f"quote{j}" for j in range(60))
+    rows.append((90, "http://mirror.example/90", f"<article><p>{long}</p></article>"))  # cites half of the story
+    got = {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, PAGES)).collect()}
+    assert got == want | {90: long}
+
+
 def test_awkward_rows(spark):
     rows = [(1, None, "<p>a</p>"), (1, None, "<p>a</p>"), (None, "not a url", None), (2, "http://h/", ""), (3, "http://h/", "<p>" + "x " * 90_000)]
     frame = spark.createDataFrame(rows, PAGES).withColumns({c: F.lit(1) for c in ("row", "host", "own", "text")})
