@@ -4,10 +4,11 @@ A page is cut into text blocks, and structure tells what is no part of an articl
 adverts, comments and the like. Then a host's pages are concatenated as streams of words, and a
 suffix array over them finds long runs of words repeated on many distinct pages. Such runs are
 template text and are removed; unique runs stay. Articles that pages mark as such and all other text
-are separate streams: quotations, licence lines and passages that some articles share are content, so
-in a marked article only what half of the host's articles repeat is a template, while in unmarked
-text a few pages suffice. Streams that are equal count once, and so do
-articles that are nearly equal, so copies of a page do not make it a template. A host's streams are cut into parts of a bounded number of pages, so a host with a third of
+are separate streams: quotations and passages that some articles share inside their paragraphs are
+content, so in a marked article only what half of the host's articles repeat is a template wherever it
+stands, while in unmarked text a few pages suffice. Where repeated runs span a whole block of an
+article, a tenth of the articles suffices, or a template outside of them. Pages that are equal count
+once, and so do articles that are nearly equal, so copies of a page do not make it a template. A host's streams are cut into parts of a bounded number of pages, so a host with a third of
 all pages is no single task.
 """
 
@@ -32,6 +33,8 @@ RUN_WORDS = 6
 PAGES, SHARE = 3, 0.02
 #: The same for marked articles; the share is that of a part of the host's articles.
 ARTICLES, ARTICLE_SHARE = 5, 0.5
+#: The share that suffices for runs that span a whole block of an article.
+BLOCK_SHARE = 0.1
 #: Pages of a host whose streams are sorted together.
 PART_PAGES = 500
 #: A page keeps its text if templates cover more of it than this; articles are nearly equal if common
@@ -238,7 +241,7 @@ def _host_key(host: str, kind: int) -> np.uint64:
     return tokens.span_hash(raw, np.array([0]), np.array([len(raw)]))[0]
 
 
-OPEN, MARKED = 0, 1
+OPEN, MARKED, BLOCK = 0, 1, 2
 _PACKED = "host string, kind int, part long, keys binary, ends binary, texts binary"
 
 
@@ -319,15 +322,18 @@ def _count_runs(table: pa.Table) -> pa.Table:
             fresh = head | np.concatenate([[True], page[start[1:]] != page[start[:-1]]])
             pages = np.bincount(np.cumsum(head) - 1, fresh).astype(np.int64)
             first = start[head]
+            windows, _ = tokens.window_hash(stream, np.array([0, len(stream)]), RUN_WORDS)
             if kind == MARKED:
                 run = np.cumsum(head) - 1
                 unit = near_equal(page, start, run, pages)
                 pairs = np.unique(run * len(unit) + unit[page[start]]) // len(unit)
                 pages, n = np.bincount(pairs), len(np.unique(unit))
-                often = pages >= max(ARTICLES, int(np.ceil(ARTICLE_SHARE * n)))
-                first, pages = first[often], pages[often]
-            windows, _ = tokens.window_hash(stream, np.array([0, len(stream)]), RUN_WORDS)
-            runs = tokens.mix(windows[first] ^ _host_key(host, kind), 21)
+                often, some = (pages >= max(ARTICLES, int(np.ceil(x * n))) for x in (ARTICLE_SHARE, BLOCK_SHARE))
+                anywhere = tokens.mix(windows[first[often]] ^ _host_key(host, MARKED), 21)
+                blocks = tokens.mix(windows[first[some]] ^ _host_key(host, BLOCK), 21)
+                runs, pages = np.concatenate([anywhere, blocks]), np.concatenate([pages[often], pages[some]])
+            else:
+                runs = tokens.mix(windows[first] ^ _host_key(host, kind), 21)
     return pa.table(
         {
             "host": pa.array([host] * len(runs), pa.string()),
@@ -347,22 +353,30 @@ def _cleaned(own: pa.Array, hosts: list[str | None], marked: np.ndarray, known:
     words = tokens.split(tokens.LOWER[raw], off)
     h = tokens.word_hash(words)
     windows, ptr = tokens.window_hash(h, words.ptr, RUN_WORDS)
-    pairs = [(x or "", int(m)) for x, m in zip(hosts, marked, strict=True)]
-    names = {pair: _host_key(*pair) for pair in set(pairs)}
-    keys = np.array([names[pair] for pair in pairs], np.uint64)
-    runs = tokens.mix(windows ^ np.repeat(keys, np.diff(ptr)), 21)
-    slot = np.minimum(np.searchsorted(known, runs), len(known) - 1)
-    hit = np.flatnonzero(known[slot] == runs)
-    page = np.searchsorted(ptr, hit, "right") - 1
-    for d in np.unique(page).tolist():
-        if hosts[d] is None:
-            continue
-        first = words.ptr[d]
-        covered = np.zeros(words.ptr[d + 1] - first, bool)
-        for k in range(RUN_WORDS):
-            covered[hit[page == d] - ptr[d] + k] = True
-        if covered.mean() > COVERED:
-            continue  # not a template but a page of which there are many
+    place = np.repeat(np.arange(len(texts)), np.diff(ptr))
+    start = np.arange(len(windows)) - ptr[place] + words.ptr[place]
+    usable = np.array([x is not None for x in hosts], bool)
+
+    def lying(kind: int, pages: np.ndarray) -> np.ndarray:
+        names = {x: _host_key(x or "", kind) for x in set(hosts)}
+        runs = tokens.mix(windows ^ np.array([names[x] for x in hosts], np.uint64)[place], 21)
+        slot = np.minimum(np.searchsorted(known, runs), len(known) - 1)
+        return _covered(start[(known[slot] == runs) & pages[place]], len(h))
+
+    templates = lying(OPEN, usable)
+    anywhere = np.where(marked[words.doc], lying(MARKED, usable & marked), templates)
+    spanned = anywhere | templates | lying(BLOCK, usable & marked)
+    for d in np.unique(words.doc[spanned]).tolist():
+        covered, whole = (x[words.ptr[d] : words.ptr[d + 1]].copy() for x in (anywhere, spanned))
+        if marked[d]:
+            at = 0
+            for line in texts[d].split("\n"):
+                n = len(tokens.words_of(pa.array([line])).start)
+                if n >= RUN_WORDS and whole[at : at + n].all():
+                    covered[at : at + n] = True
+                at += n
+        if not covered.any() or covered.mean() > COVERED:
+            continue  # in the latter case not a template but a page of which there are many
         lines, at = [], 0
         for line in texts[d].split("\n"):
             n = len(tokens.words_of(pa.array([line])).start)
@@ -399,15 +413,16 @@ def main_text(pages: DataFrame) -> DataFrame:
     parsed = pin(rows.mapInArrow(_parse, _PARSED), "pages", compression="zstd")
     # where a page does not mark its article, its whole text may be template
     open_text = F.when(F.col("marked"), F.col("other")).otherwise(F.concat_ws("\n", "other", "own"))
+    # equal text around different articles stands on as many pages
+    page, article = F.xxhash64("own", "other"), F.xxhash64("own")
     both = F.array(
-        F.struct(F.lit(OPEN).alias("kind"), open_text.alias("stream")),
-        F.struct(F.lit(MARKED).alias("kind"), F.when(F.col("marked"), F.col("own")).alias("stream")),
+        F.struct(F.lit(OPEN).alias("kind"), page.alias("key"), open_text.alias("stream")),
+        F.struct(F.lit(MARKED).alias("kind"), article.alias("key"), F.when(F.col("marked"), F.col("own")).alias("stream")),
     )
     streams = (
         parsed.where("host IS NOT NULL")
         .select("host", F.inline(both))
         .where("stream != ''")
-        .withColumn("key", F.xxhash64("stream"))
     )
     distinct = streams.select("host", "kind", "key").distinct()
     sizes = pin(distinct.groupBy("host", "kind").agg(F.count("*").alias("host_pages")), "hosts")

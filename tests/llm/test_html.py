@@ -89,6 +89,23 @@ def test_runs_repeated_on_a_hosts_pages_go(spark, monkeypatch, marked, join):
     assert got[200] == " ".join(f"c{j}" for j in range(30))  # nor do copies of one page
 
 
+def test_blocks_that_some_articles_repeat_go_but_passages_stay(spark):
+    rows = []
+    for k in range(40):
+        own = " ".join(f"word{k}_{j}" for j in range(40))
+        shared = f"<p>{NOTICE}</p>" if k % 5 == 0 else f"<p>{k} said {NOTICE} {k} times</p>" if k % 5 == 1 else ""
+        rows.append((k, f"http://host.example/{k}", f"<article><p>{own}</p>{shared}</article>"))
+    outside = "Read more of what we wrote about this last year"
+    for k in range(40, 44):
+        own = " ".join(f"word{k}_{j}" for j in range(40))
+        box = f"<p>{outside}</p>" if k == 40 else ""
+        rows.append((k, f"http://host.example/{k}", f"<div>{outside}</div><article><p>{own}</p>{box}</article>"))
+    got = {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, PAGES)).collect()}
+    for k in range(44):
+        own = " ".join(f"word{k}_{j}" for j in range(40))
+        assert got[k] == (f"{own}\n{k} said {NOTICE} {k} times" if k < 40 and k % 5 == 1 else own)
+
+
 def test_edited_copies_of_an_article_are_no_template(spark):
     rows, want = [], {}
     for k in range(20):
