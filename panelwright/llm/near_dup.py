@@ -358,10 +358,16 @@ def _block_pairs(large: DataFrame, limit: int) -> DataFrame:
 
 
 def drop_near_duplicates(documents: DataFrame, **settings) -> DataFrame:
-    """The documents that ``near_duplicates`` keeps, one row of each doc_id, with their own columns.
+    """One row of each group of equal or linked documents, that of the smallest doc_id, with its own columns.
 
-    Rows with a null doc_id all stay.
+    Every row counts by its own text: rows that repeat a doc_id are one document only if their texts
+    are equal or linked. Rows with a null doc_id all stay.
     """
-    kept = near_duplicates(documents, **settings).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    named = documents.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(documents.where("doc_id IS NULL")).select(documents.columns)
+    key = "_id_and_text"
+    named = documents.where("doc_id IS NOT NULL").withColumn(key, F.xxhash64("doc_id", "text"))
+    groups = near_duplicates(named.select(F.col(key).alias("doc_id"), "text"), **settings)
+    groups = groups.select(F.col("doc_id").alias(key), "component_id").distinct()
+    ids = named.select(key, F.col("doc_id").cast("long").alias("doc_id"))
+    first = groups.join(ids, key).groupBy("component_id").agg(F.min(F.struct("doc_id", key)).alias("first"))
+    kept = named.join(first.select(F.col("first")[key].alias(key)), key, "left_semi").dropDuplicates([key]).drop(key)
+    return kept.unionByName(documents.where("doc_id IS NULL")).select(documents.columns)

@@ -99,6 +99,12 @@ def test_awkward_rows(spark):
     assert near_duplicates(empty(spark)).isEmpty() and drop_near_duplicates(empty(spark)).isEmpty()
 
 
+def test_rows_of_one_id_are_dropped_only_for_their_text(spark):
+    rows = [(8, "a b c d e f g"), (8, "quite another text of the same id"), (8, "A b c d e f g"), (3, "a b c d e f g"), (5, None), (5, None)]
+    kept = drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.text or "") for r in kept) == [(3, rows[3][1]), (5, ""), (8, rows[1][1])]
+
+
 def test_copies_in_any_case_form_one_class(spark):
     rows = [(9, "A B c d", None, None, 0), (3, "a b C D", None, None, 0), (7, "a  b\nc d", None, None, 0), (5, "a", None, None, 0), (6, "A", None, None, 0)]
     got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, DOCUMENTS)).collect()}
