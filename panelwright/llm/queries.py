@@ -8,7 +8,10 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelwright.llm.collocations import collocations
 from panelwright.llm.decontamination import contaminated_passages
+from panelwright.llm.divergence import source_divergence
+from panelwright.llm.exact_dup import exact_duplicates
 from panelwright.llm.hilbert import hilbert_shards
 from panelwright.llm.html_text import main_text
 from panelwright.llm.language_model import score_documents
@@ -101,3 +104,21 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates for secrets in all documents, with the forest's verdicts."""
     return find_secrets(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_exact_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal texts among all documents; the row with the largest doc_id stays."""
+    return exact_duplicates(table(spark, sf_dir, "documents"), keep="largest")
+
+
+@query
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the words of every source differ from those of its language and of its other sources."""
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best 2,000 phrases of two and three words of every language."""
+    return collocations(table(spark, sf_dir, "documents"))
