@@ -1,9 +1,9 @@
 """Exact duplicates by a 128-bit content hash, in DataFrame operations only.
 
 Rows are grouped by a hash of their text; counts and the row that stays are aggregated before anything
-is shuffled, so a group may hold any share of the rows. A hash proves nothing by itself: the texts of
-every group of two or more are compared byte by byte, and the rows of a hash that stands for several
-texts are grouped anew by the texts themselves.
+is shuffled, so a group may hold any share of the rows. A hash proves nothing by itself: the texts below
+each hash are compared byte by byte, and the rows of a hash that stands for several texts are grouped anew
+by the texts themselves.
 """
 
 from __future__ import annotations
@@ -48,10 +48,9 @@ def exact_duplicates(
 
     rows = pin(texts.select("doc_id", "sha", "hash", F.monotonically_increasing_id().alias("row")), "digests")
     groups = pin(_repeated(rows, ["hash"], keep), "groups")
-    copies = pin(texts.select("hash", "text").join(groups.select("hash"), "hash", "left_semi"), "copies")
-    # a group is one text if its first and last text in byte order are the same
-    ends = copies.groupBy("hash").agg(F.min("text").alias("low"), F.max("text").alias("high"))
-    mixed = pin(ends.where("low != high").select("hash"), "collisions")
+    # equal texts of a task become one before the shuffle, so a large group of copies is no large partition
+    versions = texts.groupBy("hash", "text").agg().groupBy("hash").agg(F.count("*").alias("texts"))
+    mixed = pin(versions.where("texts > 1").select("hash"), "collisions")
     if mixed.isEmpty():
         return _marked(rows, groups, ["hash"])
 
