@@ -49,7 +49,7 @@ def exact_duplicates(
     rows = pin(texts.select("doc_id", "sha", "hash", F.monotonically_increasing_id().alias("row")), "digests")
     groups = pin(_repeated(rows, ["hash"], keep), "groups")
     # equal texts of a task become one before the shuffle, so a large group of copies is no large partition
-    versions = texts.groupBy("hash", "text").agg().groupBy("hash").agg(F.count("*").alias("texts"))
+    versions = texts.select("hash", "text").distinct().groupBy("hash").agg(F.count("*").alias("texts"))
     mixed = pin(versions.where("texts > 1").select("hash"), "collisions")
     if mixed.isEmpty():
         return _marked(rows, groups, ["hash"])
