@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from panelwright.llm import tokens
 from panelwright.scratch import pin
 
+#: Texts of about this many bytes are counted together.
+CHUNK_BYTES = 500_000
 #: Entries of the flag table (a power of two), one byte each, and entries that travel in one row.
 ENTRIES, BLOCK = 1 << 22, 1 << 13
 #: The first floor lets this many times the wanted phrases pass; each later one this many times more.
@@ -72,7 +74,7 @@ def _grown(flags: np.ndarray, keys: np.ndarray, ptr: np.ndarray) -> np.ndarray:
 def _phrases(batches: Iterator[pa.RecordBatch], length: int, flags) -> Iterator[pa.RecordBatch]:
     """Counts of the phrases of one length, for some texts at a time."""
     for batch in batches:
-        for part in tokens.chunks(batch):
+        for part in tokens.chunks(batch, size=CHUNK_BYTES):
             raw, off = tokens.utf8(part.column("text"))
             found = tokens.split(tokens.LOWER[raw], off, _GAP)
             if not len(found.start):
