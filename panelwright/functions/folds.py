@@ -159,16 +159,17 @@ def stop_switches(series: Column, stop_drawdown: Column, reentry_breadth: Column
     ``series`` is array<struct(pos, gross, breadth)> in date order. Before each day but the
     first, a running portfolio stops when its value is ``stop_drawdown`` or more below its high
     water mark, and a stopped one resumes when breadth reaches ``reentry_breadth``. The high
-    water mark is not reset, so a portfolio can stop again right after it resumes. Only the
-    switches are stored, which keeps the fold linear in the number of days.
+    water mark is not reset, so a portfolio can stop again right after it resumes.
+
+    Only the switches are stored. Appending copies an array, so days are folded in chunks of about
+    the root of their number: an inner fold gathers the switches of its chunk, and the outer one
+    appends once a chunk. No array that is copied for a switch is longer than a chunk.
     """
-    start = F.struct(
-        F.lit(1.0).alias("nav"),
-        F.lit(1.0).alias("high"),
-        F.lit(False).alias("stopped"),
-        F.lit(True).alias("first"),
-        F.array().cast("array<struct<pos:int,stopped:boolean>>").alias("switches"),
-    )
+    none = F.array().cast("array<struct<pos:int,stopped:boolean>>")
+
+    def state_of(nav: Column, high: Column, stopped: Column, first: Column, switches: Column) -> Column:
+        fields = {"nav": nav, "high": high, "stopped": stopped, "first": first, "switches": switches}
+        return F.struct(*[value.alias(name) for name, value in fields.items()])
 
     def step(state: Column, day: Column) -> Column:
         under = ratio(state["nav"], state["high"]) - 1.0 <= -stop_drawdown
@@ -181,23 +182,40 @@ def stop_switches(series: Column, stop_drawdown: Column, reentry_breadth: Column
 
         def move(now: Column) -> Column:
             nav = state["nav"] * (1.0 + F.when(now, F.lit(0.0)).otherwise(day["gross"]))
+            switch = F.array(F.struct(day["pos"].alias("pos"), now.alias("stopped")))
             return let(
                 nav,
-                lambda value: F.struct(
-                    value.alias("nav"),
-                    F.greatest(state["high"], value).alias("high"),
-                    now.alias("stopped"),
-                    F.lit(False).alias("first"),
-                    F.when(
-                        now != state["stopped"],
-                        F.concat(
-                            state["switches"],
-                            F.array(F.struct(day["pos"].alias("pos"), now.alias("stopped"))),
-                        ),
-                    ).otherwise(state["switches"]).alias("switches"),
+                lambda value: state_of(
+                    value,
+                    F.greatest(state["high"], value),
+                    now,
+                    F.lit(False),
+                    F.when(now != state["stopped"], F.concat(state["switches"], switch)).otherwise(
+                        state["switches"]
+                    ),
                 ),
             )
 
         return let(decided, move)
 
-    return F.aggregate(series, start, step, lambda state: state["switches"])
+    size = F.ceil(F.sqrt(F.size(series))).cast("int")
+
+    def chunk(state: Column, number: Column) -> Column:
+        days = F.slice(series, number * size + 1, size)
+        start = state_of(state["nav"], state["high"], state["stopped"], state["first"], none)
+        return let(
+            F.aggregate(days, start, step),
+            lambda end: state_of(
+                end["nav"],
+                end["high"],
+                end["stopped"],
+                end["first"],
+                F.concat(state["switches"], F.array(end["switches"])),
+            ),
+        )
+
+    nothing = F.array().cast("array<array<struct<pos:int,stopped:boolean>>>")
+    begin = state_of(F.lit(1.0), F.lit(1.0), F.lit(False), F.lit(True), nothing)
+    chunks = F.when(F.size(series) > 0, F.sequence(F.lit(0), F.ceil(F.size(series) / size).cast("int") - 1))
+    whole = F.aggregate(F.coalesce(chunks, F.array().cast("array<int>")), begin, chunk)
+    return F.flatten(whole["switches"])
