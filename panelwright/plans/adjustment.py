@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from panelwright import schemas
 from panelwright.operators.asof import asof_backward
+from panelwright.operators.panel import require_unique
 from panelwright.scratch import pin
 from panelwright.sources import files, sinks
 
@@ -78,8 +79,9 @@ def build_total_return_from_files(
 
     The table (by year) is what ``scan_research`` reads; it keeps the amount, which saves the
     research job a join. Symbols without a factor file go to a report, the counts to a summary.
+    (symbol, date) is the table's key: bars that repeat one are refused before anything is written.
     """
-    bars = spark.read.parquet(bars_path)
+    bars = require_unique(spark.read.parquet(bars_path))
     factors = files.read_factor_files(spark, factors_path)
     inventory = files.file_inventory(spark, factors_path)
     result = build_total_return(bars, factors, inventory, ["amount"])

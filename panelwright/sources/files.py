@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import csv
+import re
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelwright import schemas
 from panelwright.functions.numbers import to_day, to_number
 from panelwright.functions.text import padded_symbol
-from panelwright.scratch import pin
 
 # A date guard for factor rows: earlier dates are placeholders.
 FIRST_FACTOR_DATE = "1900-01-01"
@@ -37,55 +41,83 @@ def _symbol(path: Column) -> Column:
     return F.when(F.length(folder) > 0, folder).otherwise(_stem(plain))
 
 
-def _cells(line: Column, width: int) -> Column:
-    """Cells of a CSV line as an array of text, NULL where empty or absent."""
-    names = [f"c{i}" for i in range(width)]
-    row = F.from_csv(line, ", ".join(f"{name} string" for name in names))
-    return F.array(*[row[name] for name in names])
-
-
 def _read_text_columns(
     spark: SparkSession, path: str, names: list[str], required: set[str]
 ) -> DataFrame:
     """Named columns of every CSV below a folder, as text. Each file has a header of its own.
 
-    One scan of lines; the first line of a file gives the place of each of its columns, so columns
-    may be reordered, further ones are ignored, and absent ones are NULL. A file without a required
-    column fails the job.
+    Headers are read apart from the data. Files whose headers put the named columns in the same places
+    share a layout, and each layout is one CSV scan, so every byte of data is read once and only columns
+    that are used are parsed. Columns may be reordered, further ones are ignored, absent ones are NULL.
+    A file without a required column fails the job; empty files add nothing.
     """
-    lines = (
-        spark.read.option("recursiveFileLookup", True)
-        .text(path)
-        .select(
-            F.col("_metadata.file_path").alias("path"),
-            file_order().alias("ingest_seq"),
-            F.regexp_replace("value", "^\ufeff", "").alias("line"),
-        )
-        .where(F.trim("line") != "")
-    )
-    first = lines.groupBy("path").agg(
-        F.min("ingest_seq").alias("header_seq"), F.min_by("line", "ingest_seq").alias("header")
-    )
-    first = pin(first, "headers")
-    commas = F.length("header") - F.length(F.replace("header", F.lit(","), F.lit("")))
-    width = first.agg(F.max(commas)).first()[0]
-    if width is None:
+    layouts: dict[tuple[int | None, ...], tuple[int, list[str]]] = {}
+    for file, line in first_lines(spark, path):
+        titles = [cell.strip() for cell in next(csv.reader([line.removeprefix("\ufeff")]))]
+        for name in required - set(titles):
+            raise ValueError(f"missing column {name} in {file}")
+        places = tuple(titles.index(name) if name in titles else None for name in names)
+        width, members = layouts.get(places, (0, []))
+        layouts[places] = (max(width, len(titles)), [*members, file])
+    if not layouts:
         return spark.createDataFrame([], ", ".join(f"{n} string" for n in ("symbol", *names)) + ", ingest_seq long")
-    titles = F.transform(_cells(F.col("header"), width + 1), lambda cell: F.trim(cell))
-    places = first.select("path", "header_seq", *[
-        F.nullif(F.array_position(titles, name), F.lit(0)).cast("int").alias(f"at_{name}") for name in names
-    ])
-    for name in required:
-        bad = places.where(F.col(f"at_{name}").isNull()).limit(1).collect()
-        if bad:
-            raise ValueError(f"missing column {name} in {bad[0].path}")
-    rows = lines.join(places, "path").where("ingest_seq > header_seq")
-    cells = rows.withColumn("cells", _cells(F.col("line"), width + 1))
-    return cells.select(
-        _symbol(F.col("path")).alias("symbol"),
-        *[F.get("cells", F.col(f"at_{name}") - 1).alias(name) for name in names],
-        "ingest_seq",
-    )
+    parts = []
+    for places, (width, members) in layouts.items():
+        cells = [F.lit(None).cast("string") if at is None else F.col(f"c{at}") for at in places]
+        parts.append(
+            spark.read.schema(", ".join(f"c{at} string" for at in range(width)))
+            .options(header=True, recursiveFileLookup=True)
+            .csv([_literal(file) for file in members])
+            .select(
+                _symbol(F.col("_metadata.file_path")).alias("symbol"),
+                *[cell.alias(name) for cell, name in zip(cells, names, strict=True)],
+                file_order().alias("ingest_seq"),
+            )
+        )
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _literal(file: str) -> str:
+    """A path without glob patterns."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", file)
+
+
+def first_lines(spark: SparkSession, path: str, threads: int = 16) -> list[tuple[str, str]]:
+    """(file, first line that is not blank) of every file below a folder that has one.
+
+    The driver lists the files, as it does for any scan, and reads the beginning of each through
+    Hadoop's file systems; nothing else of them. Names that begin with a dot or an underscore count
+    as hidden, as in Spark's readers.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    system = root.getFileSystem(conf)
+    codecs = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf)
+    base = system.makeQualified(root).toString().rstrip("/")
+
+    def first_line(file: str) -> tuple[str, str] | None:
+        location = jvm.org.apache.hadoop.fs.Path(file)
+        stream = system.open(location)
+        try:
+            codec = codecs.getCodec(location)
+            bytes_ = codec.createInputStream(stream) if codec else stream
+            reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(bytes_, "UTF-8"))
+            line = reader.readLine()
+            while line is not None and not line.strip():
+                line = reader.readLine()
+            return None if line is None else (file, line)
+        finally:
+            stream.close()
+
+    found, listing = [], system.listFiles(root, True)
+    while listing.hasNext():
+        status = listing.next()
+        file = status.getPath().toString()
+        hidden = any(part[0] in "._" for part in file.removeprefix(base).split("/") if part)
+        if status.getLen() and not hidden:
+            found.append(file)
+    with ThreadPoolExecutor(threads) as pool:
+        return [line for line in pool.map(first_line, sorted(found)) if line]
 
 
 def read_bar_files(spark: SparkSession, path: str) -> DataFrame:
@@ -127,6 +159,18 @@ def read_adjusted_files(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def read_series_files(spark: SparkSession, path: str, value: str = "close") -> DataFrame:
+    """(symbol, date, close) of every CSV in a folder of single-asset series, without nulls.
+
+    All files are one scan; the first row of a date counts.
+    """
+    text = _read_text_columns(spark, path, ["date", value], {"date", value})
+    rows = text.select(
+        "symbol", to_day(F.col("date")).alias("date"), to_number(F.col(value)).alias("close"), "ingest_seq"
+    ).where("date IS NOT NULL AND close IS NOT NULL")
+    return rows.groupBy("symbol", "date").agg(F.min_by("close", "ingest_seq").alias("close"))
+
+
 def file_inventory(spark: SparkSession, path: str) -> DataFrame:
     """One row per symbol with a CSV file: its size. The file content is not read."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").option(
@@ -144,12 +188,17 @@ def count_file_rows(bars: DataFrame, inventory: DataFrame) -> DataFrame:
     )
 
 
-def read_catalog(spark: SparkSession, path: str) -> DataFrame:
-    """Catalog of symbols and names: all text, nulls as empty strings, first row per symbol."""
+def read_catalog(spark: SparkSession, path: str, order: str | None = None) -> DataFrame:
+    """Catalog of symbols and names: all text, nulls as empty strings, first row per symbol.
+
+    Rows count in the order of the file, or by a column of whole numbers if the catalog is cut into
+    several files.
+    """
     names = schemas.column_names(schemas.CATALOG)
-    return shape_catalog(spark.read.option("header", True).csv(path).select(
-        *names, file_order().alias("ingest_seq")
-    ))
+    sequence = F.col(order).cast("long") if order else file_order()
+    return shape_catalog(
+        spark.read.option("header", True).csv(path).select(*names, sequence.alias("ingest_seq"))
+    )
 
 
 def shape_catalog(catalog: DataFrame, order: str = "ingest_seq") -> DataFrame:

@@ -16,12 +16,14 @@ def write_by_year(rows: DataFrame, path: str) -> None:
     yearly.write.mode("overwrite").partitionBy("year").parquet(path)
 
 
-def write_bucketed(rows: DataFrame, table: str, buckets: int) -> None:
-    """Full rebuild as a table bucketed by symbol: later windows by symbol need no shuffle."""
-    spread = rows.repartition(buckets, "symbol")
-    spread.write.mode("overwrite").bucketBy(buckets, "symbol").sortBy("symbol", "date").saveAsTable(
-        table
-    )
+def write_bucketed(rows: DataFrame, table: str, buckets: int, path: str | None = None) -> None:
+    """Full rebuild as a table bucketed by symbol: later windows by symbol need no shuffle.
+
+    With ``path`` the files go there, else below the session's warehouse.
+    """
+    spread = rows.repartition(buckets, "symbol").write.mode("overwrite")
+    located = spread.option("path", path) if path else spread
+    located.bucketBy(buckets, "symbol").sortBy("symbol", "date").saveAsTable(table)
 
 
 def write_report(rows: DataFrame, path: str, *order: object) -> None:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,16 +39,21 @@ def unpivot_prices(wide: DataFrame, assets: Sequence[str], value: str = "close")
     return wide.unpivot(["date"], [F.col(f"`{name}`") for name in assets], "symbol", value)
 
 
-def combine_series(series: Mapping[str, DataFrame], value: str = "close") -> DataFrame:
-    """Long (date, symbol, close) rows of single-asset (date, value) tables, keyed by asset.
+def combine_series(
+    series: DataFrame, assets: Mapping[str, str] | DataFrame, key: str = "symbol", value: str = "close"
+) -> DataFrame:
+    """Long (date, symbol, close) rows of many single-asset series that one scan holds.
 
-    No join by date is needed: the shared calendar comes from the rows' own dates.
+    ``assets`` maps the key of a series (its file name, say) to its asset: a mapping, or a table of
+    (key, symbol). Series without an asset are left out; two series of one asset are both there. The
+    plan is one scan and one join however many series there are. No join by date is needed: the shared
+    calendar comes from the rows' own dates.
     """
-    parts = [
-        rows.select("date", F.lit(symbol).alias("symbol"), F.col(value).alias("close"))
-        for symbol, rows in series.items()
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    if not isinstance(assets, DataFrame):
+        assets = series.sparkSession.createDataFrame(list(assets.items()), "key string, symbol string")
+    named = assets.select(F.col("key").alias("__key"), F.col("symbol").alias("__symbol"))
+    rows = series.select("date", F.col(key).alias("__key"), F.col(value).alias("close"))
+    return rows.join(named, "__key").select("date", F.col("__symbol").alias("symbol"), "close")
 
 
 def pivot_prices(prices: DataFrame, symbols: Sequence[str], value: str = "close") -> DataFrame:

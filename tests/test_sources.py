@@ -1,12 +1,15 @@
 import datetime as dt
+import gzip
 
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from panelwright.plans.adjustment import build_total_return_from_files
 from panelwright.plans.ingest import coverage_from_files
 from panelwright.plans.quality import build_bars_from_files
 from panelwright.sources import files, sinks, tables, wide
+from workload.more_queries import volatility_of
 
 D = dt.date
 HEADER = "date,open,high,low,close,volume,amount\n"
@@ -87,6 +90,32 @@ def test_each_file_has_a_header_of_its_own(spark, tmp_path):
         files.read_bar_files(spark, str(tmp_path))
 
 
+def test_every_layout_is_one_scan_of_the_columns_in_use(spark, tmp_path):
+    for k in range(30):
+        (tmp_path / f"a{k}.csv").write_text("close,date,volume,note\n" + f"{k},2024-01-02,1,x\n" * 50)
+    for k in range(20):
+        (tmp_path / f"b{k}.csv").write_text("date,amount,close\n" + f"2024-01-02,7,{k}\n" * 50)
+    (tmp_path / "empty.csv").write_text("")
+    (tmp_path / "_SUCCESS").write_text("")
+    (tmp_path / ".part.crc").write_text("x")
+    bars = files.read_bar_files(spark, str(tmp_path))
+    plan = bars.select("symbol", "close")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan csv") == 2 and "Exchange" not in plan
+    assert "ReadSchema: struct<c0:string>" in plan and "ReadSchema: struct<c2:string>" in plan
+    rows = bars.groupBy("symbol").agg(F.count("close").alias("n"), F.max("close").alias("c"), F.max("amount").alias("m"))
+    got = {r.symbol: (r.n, r.c, r.m) for r in rows.collect()}
+    assert got == {f"a{k}": (50, float(k), None) for k in range(30)} | {f"b{k}": (50, float(k), 7.0) for k in range(20)}
+
+
+def test_a_folder_without_rows_has_no_bars(spark, tmp_path):
+    assert files.read_bar_files(spark, str(tmp_path)).isEmpty()
+    (tmp_path / "a.csv").write_text("\n \n")
+    (tmp_path / "b.csv").write_text("date,close\n")
+    with gzip.open(tmp_path / "c.csv.gz", "wt") as out:
+        out.write("\n\ndate,close\n2024-01-02,3\n")
+    assert [(r.symbol, r.close) for r in files.read_bar_files(spark, str(tmp_path)).collect()] == [("c.csv", 3.0)]
+
+
 def test_row_order_grows_over_the_splits_of_a_file(spark, tmp_path):
     (tmp_path / "big.csv").write_text("n\n" + "".join(f"{k}\n" for k in range(60_000)))
     for k in range(40):
@@ -155,15 +184,36 @@ def test_wide_prices_round_trip(spark, tmp_path):
 
 
 def test_single_series_combine_to_one_table(spark):
-    a = spark.createDataFrame([(D(2024, 1, 2), 1.0), (D(2024, 1, 3), 2.0)], "date date, nav double")
-    b = spark.createDataFrame([(D(2024, 1, 3), 5.0)], "date date, nav double")
-    wide_rows = wide.pivot_prices(wide.combine_series({"A": a, "B": b}, "nav"), ["A", "B"])
+    rows = [("a", D(2024, 1, 2), 1.0), ("a", D(2024, 1, 3), 2.0), ("b", D(2024, 1, 3), 5.0), ("c", D(2024, 1, 3), 9.0)]
+    series = spark.createDataFrame(rows, "source string, date date, nav double")
+    combined = wide.combine_series(series, {"a": "A", "b": "B"}, "source", "nav")
+    assert combined.columns == ["date", "symbol", "close"]
+    wide_rows = wide.pivot_prices(combined, ["A", "B"])
     assert [tuple(r) for r in wide_rows.orderBy("date").collect()] == [
         (D(2024, 1, 2), 1.0, None),
         (D(2024, 1, 3), 2.0, 5.0),
     ]
 
 
+def test_many_series_are_one_scan(spark, tmp_path):
+    def plan(count):
+        folder = tmp_path / str(count)
+        folder.mkdir()
+        for k in range(count):
+            (folder / f"s[{k}].csv").write_text(f"date,close\n2024-01-02,{k}\n2024-01-03,{k + 1}\n2024-01-02,7\n,1\n")
+        assets = {f"s[{k}]": f"asset {k}" for k in range(count)}
+        combined = wide.combine_series(files.read_series_files(spark, str(folder)), assets)
+        text = combined._jdf.queryExecution().optimizedPlan().toString()
+        return combined, text
+
+    few, small = plan(10)
+    many, large = plan(1500)
+    assert small.count("\n") == large.count("\n") and large.count("Relation [") == 1
+    for frame, count in ((few, 10), (many, 1500)):
+        got = {(r.symbol, r.date.day): r.close for r in frame.collect()}
+        assert got == {(f"asset {k}", day): float(k + day - 2) for k in range(count) for day in (2, 3)}
+
+
 def test_universe_config(spark, tmp_path):
     good = tmp_path / "u.csv"
     good.write_text(
@@ -197,6 +247,28 @@ def test_filters_reach_the_scan(spark, tmp_path):
     assert [r.symbol for r in frame.collect()] == ["1"]
 
 
+def test_windows_over_bucketed_bars_need_no_shuffle(spark, tmp_path):
+    rows = spark.range(400).selectExpr(
+        "string(id % 7) AS symbol", "date_add(DATE'2024-01-01', int(id div 7)) AS date", "double(id) + 1 AS close"
+    )
+    sinks.write_bucketed(rows, "bucketed_prices", 4, str(tmp_path / "bars"))
+    text = volatility_of(spark.table("bucketed_prices"))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in text and "Bucketed: true" in text
+    spark.sql("DROP TABLE bucketed_prices")
+
+
+def test_adjusted_table_refuses_repeated_keys(spark, tmp_path):
+    bars = spark.createDataFrame(
+        [("A", D(2024, 1, 2), 1.0, 1.0), ("A", D(2024, 1, 2), 2.0, 1.0)], "symbol string, date date, close double, amount double"
+    )
+    bars.write.parquet(str(tmp_path / "bars"))
+    (tmp_path / "factors").mkdir()
+    (tmp_path / "factors" / "A.csv").write_text("date,f,s,u\n2024-01-01,1,1,0\n")
+    with pytest.raises(ValueError, match="duplicate symbol, date"):
+        build_total_return_from_files(spark, str(tmp_path / "bars"), str(tmp_path / "factors"), str(tmp_path / "out"))
+    assert not (tmp_path / "out").exists()
+
+
 def test_bucketed_table_needs_no_shuffle(spark):
     rows = spark.range(100).selectExpr(
         "string(id % 7) AS symbol", "date_add(DATE'2024-01-01', int(id)) AS date", "id AS close"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from workload import settings
 from workload.oracle import (
     ADJUSTED,
     FACTORS,
@@ -9,6 +10,7 @@ from workload.oracle import (
     QUALITY_DOUBLES,
     QUALITY_PLAIN,
     RAW_LINES,
+    SNAPSHOT,
     SQL,
     TYPE_BARS,
     fixed,
@@ -109,3 +111,37 @@ SELECT name, CASE
     ELSE 'equity_thematic' END AS asset_class, parts
 FROM counted"""
 SQL["rotation_files"] = SQL["rotation_daily"]
+SQL["adjusted_files"] = SQL["asof_adjust"]
+SQL["total_return_table"] = with_ctes(
+    [TYPE_BARS, FACTORS],
+    f"""
+    SELECT b.symbol, b.date, {fixed("b.close * coalesce(f.s, 1.0) + coalesce(f.u, 0.0)")} AS price,
+           {fixed("b.amount")} AS amount
+    FROM bars b ASOF LEFT JOIN (SELECT * FROM factors WHERE symbol <> 'ECONOMY') f
+      ON b.symbol = f.symbol AND b.date >= f.date
+    WHERE b.symbol <> 'LARGE'
+    UNION ALL SELECT 'LARGE', NULL, NULL, NULL""",
+)
+SQL["snapshot_report"] = with_ctes(
+    SNAPSHOT,
+    f"""
+    SELECT symbol, asset_class, eligible, exclusion_reason, stale_days,
+           {fixed("median_amount_60d")} AS median_amount_60d,
+           CAST(row_number() OVER (PARTITION BY eligible, asset_class
+                                   ORDER BY median_amount_60d DESC, symbol) AS INTEGER) AS rank
+    FROM snapshot""",
+)
+SQL["research_pool_report"] = f"""
+WITH pool AS ({SQL["research_universe"]}), quality AS ({SQL["quality_audit"]})
+SELECT symbol, name, asset_class, rows_valid, last_date, median_amount_60d,
+       CAST(row_number() OVER (PARTITION BY asset_class ORDER BY median_amount_60d DESC, symbol) AS INTEGER) AS rank,
+       (SELECT max(last_date) FROM quality) AS as_of, count(*) OVER () AS selected
+FROM pool"""
+SQL["research_report_orders"] = SQL["research_orders"]
+SQL["research_report_summary"] = f"""
+WITH metrics AS ({SQL["summary_metrics"]}),
+labels(scenario_id, price_mode, top_n, cost_bps) AS (VALUES {
+    ", ".join(f"('{s.scenario_id}', '{s.price_mode}', {s.top_n}, {s.cost_bps}::DOUBLE)" for s in settings.SCENARIOS)
+})
+SELECT * FROM metrics JOIN labels USING (scenario_id)"""
+SQL["bucketed_volatility"] = SQL["rolling_vol"]

@@ -7,23 +7,25 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelwright.functions.classify import asset_class
+from panelwright.operators import rolling
 from panelwright.operators.asof import asof_backward
+from panelwright.operators.calendar import slot_calendar
 from panelwright.operators.cleaning import keep_last
-from panelwright.operators.panel import duplicate_keys
+from panelwright.operators.panel import attach_slots, duplicate_keys
 from panelwright.plans import quality as quality_plan
-from panelwright.plans import rotation
-from panelwright.plans.adjustment import adjusted_prices, build_total_return
+from panelwright.plans import research, rotation
+from panelwright.plans.adjustment import adjusted_prices, build_total_return, build_total_return_from_files
 from panelwright.scratch import pin, scratch_root
 from panelwright.sources import files, sinks, wide
 from panelwright.sources.normalize import normalize_series
 from panelwright.sources.tables import scan_research
 from workload import adapters, settings
 from workload.adapters import fixed
-from workload.queries import QUALITY_DOUBLES, _fixed_columns, _quality, query
+from workload.queries import QUALITY_DOUBLES, SUMMARY_DOUBLES, _fixed_columns, _quality, query
 
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -124,10 +126,15 @@ def adjusted_join(spark, sf_dir):
 
 @query
 def combined_series(spark, sf_dir):
+    """One file folder per series, named in lower case, combined under the assets' own names."""
+    path = _folder(spark, "series")
     bars = pin(adapters.type_bars(spark, sf_dir).select("symbol", "date", "close"), "bars")
-    names = sorted(row.symbol for row in bars.select("symbol").distinct().collect())
-    parts = {name: bars.where(F.col("symbol") == name).select("date", "close") for name in names}
-    return _fixed_columns(wide.combine_series(parts), "close")
+    key = F.lower("symbol")
+    bars.select(key.alias("symbol"), "date", "close").repartition("symbol").write.partitionBy("symbol").option(
+        "header", True
+    ).csv(path)
+    assets = bars.select(key.alias("key"), "symbol").distinct()
+    return _fixed_columns(wide.combine_series(files.read_series_files(spark, path), assets), "close")
 
 
 @query
@@ -155,13 +162,17 @@ def wide_round_trip(spark, sf_dir):
 
 @query
 def catalog_round_trip(spark, sf_dir):
+    """A catalog in several files, whose sequence column tells first rows from repeated ones."""
     path = _folder(spark, "catalog")
     customers = adapters.table(spark, sf_dir, "customer").select(
         F.col("c_custkey").cast("string").alias("symbol"),
         F.when(F.col("c_custkey") % 9 != 0, F.col("c_name")).alias("name"),
+        F.col("c_custkey").alias("seq"),
     )
-    customers.coalesce(1).sortWithinPartitions("symbol").write.option("header", True).csv(path)
-    return files.read_catalog(spark, path)
+    again = customers.where("seq % 10 = 3").select("symbol", F.lit("again").alias("name"), (F.col("seq") + 5).alias("seq"))
+    rows = customers.unionByName(again).repartitionByRange("seq")
+    rows.write.option("header", True).csv(path)
+    return files.read_catalog(spark, path, "seq")
 
 
 @query
@@ -239,3 +250,139 @@ def rotation_files(spark, sf_dir):
     stored = spark.read.option("header", True).csv(f"{path}/daily")
     typed = stored.select("scenario_id", *[F.col(name).cast(kind).alias(name) for name, kind in kinds.items()])
     return _fixed_columns(typed, *list(kinds)[1:])
+
+
+def _by_symbol(rows: DataFrame, path: str) -> None:
+    rows.repartition("symbol").write.mode("append").partitionBy("symbol").option("header", True).csv(path)
+
+
+ADJUSTED_DOUBLES = ("close", "total_return_proxy", "cumulative_dividend", "split_factor")
+
+
+@query
+def adjusted_files(spark, sf_dir):
+    """Adjusted bars as one folder of CSV per symbol, one of them without rows, read back."""
+    path = _folder(spark, "adjusted")
+    adjusted = adjusted_prices(adapters.type_bars(spark, sf_dir), adapters.type_factors(spark, sf_dir))
+    _by_symbol(adjusted, path)
+    adjusted.drop("symbol").limit(0).write.option("header", True).csv(f"{path}/symbol=EMPTY")
+    return _fixed_columns(files.read_adjusted_files(spark, path), *ADJUSTED_DOUBLES)
+
+
+@query
+def total_return_table(spark, sf_dir):
+    """The stored adjusted table, from stored bars and factor files, scanned by price mode.
+
+    One type has a factor file without rows and one has none.
+    """
+    path = _folder(spark, "total-return")
+    sinks.write_by_year(adapters.type_bars(spark, sf_dir), f"{path}/bars")
+    factors = adapters.type_factors(spark, sf_dir).where("symbol <> 'LARGE'")
+    _by_symbol(factors.where("symbol <> 'ECONOMY'"), f"{path}/factors")
+    factors.drop("symbol").limit(0).write.option("header", True).csv(f"{path}/factors/symbol=ECONOMY")
+    build_total_return_from_files(spark, f"{path}/bars", f"{path}/factors", path)
+    prices = scan_research(spark.read.parquet(f"{path}/bars"), spark.read.parquet(f"{path}/adjusted"), "total-return")
+    missing = spark.read.option("header", True).csv(f"{path}/missing_factors")
+    rows = prices.select("symbol", "date", fixed("close").alias("price"), fixed("amount").alias("amount"))
+    return rows.unionByName(missing.select("symbol"), allowMissingColumns=True)
+
+
+def _report_rank(report: DataFrame, *groups: str) -> DataFrame:
+    """Rows of a report in several files with their place in their group, by file and place in it."""
+    placed = report.select("*", F.col("_metadata.file_name").alias("file"), files.file_order().alias("place"))
+    by = Window.partitionBy(*groups).orderBy("file", "place")
+    return placed.withColumn("rank", F.row_number().over(by)).drop("file", "place")
+
+
+def _stored_quality(spark, sf_dir) -> str:
+    path = _folder(spark, "quality")
+    sinks.write_table(_quality(spark, sf_dir), f"{path}/quality")
+    return path
+
+
+@query
+def snapshot_report(spark, sf_dir):
+    """The snapshot's report from stored quality, read back in its own order."""
+    path = _stored_quality(spark, sf_dir)
+    quality_plan.build_snapshot(spark, f"{path}/quality", path, **settings.SNAPSHOT)
+    report = spark.read.option("header", True).csv(f"{path}/snapshot")
+    return _report_rank(report, "eligible", "asset_class").select(
+        "symbol",
+        "asset_class",
+        F.col("eligible").cast("boolean").alias("eligible"),
+        F.coalesce("exclusion_reason", F.lit("")).alias("exclusion_reason"),
+        F.col("stale_days").cast("int").alias("stale_days"),
+        fixed(F.col("median_amount_60d").cast("double")).alias("median_amount_60d"),
+        "rank",
+    )
+
+
+@query
+def research_pool_report(spark, sf_dir):
+    """The research pool's report from stored quality, read back in its own order, with its totals."""
+    path = _stored_quality(spark, sf_dir)
+    quality_plan.build_research_universe(spark, f"{path}/quality", path, **settings.RESEARCH_POOL)
+    report = spark.read.option("header", True).csv(f"{path}/research_universe")
+    totals = spark.read.schema("as_of date, selected long").json(f"{path}/research_totals")
+    totals = {name: totals.select(name).scalar() for name in ("as_of", "selected")}
+    return _report_rank(report, "asset_class").withColumns(totals).select(
+        "symbol",
+        "name",
+        "asset_class",
+        F.col("rows_valid").cast("long").alias("rows_valid"),
+        F.col("last_date").cast("date").alias("last_date"),
+        fixed(F.col("median_amount_60d").cast("double")).alias("median_amount_60d"),
+        "rank",
+        "as_of",
+        "selected",
+    )
+
+
+def _research_files(spark, sf_dir) -> str:
+    path = _folder(spark, "research")
+    bars = pin(adapters.brand_sessions(spark, sf_dir), "bars")
+    research.research_report(
+        bars, adapters.brand_classes(spark, sf_dir), settings.SCENARIOS, path, spec=settings.SPEC
+    )
+    return path
+
+
+@query
+def research_report_orders(spark, sf_dir):
+    """Orders of the research report as written, read back."""
+    stored = spark.read.option("header", True).csv(f"{_research_files(spark, sf_dir)}/orders")
+    return stored.select(
+        "scenario_id",
+        F.col("signal_date").cast("date").alias("signal_date"),
+        F.col("execution_date").cast("date").alias("execution_date"),
+        F.coalesce("selected", F.lit("")).alias("selected"),
+        F.col("selected_count").cast("int").alias("selected_count"),
+    )
+
+
+@query
+def research_report_summary(spark, sf_dir):
+    """Summaries of the research report as JSON, read back, with two of the recorded parameters."""
+    kinds = "scenario_id string, price_mode string, start date, end date, rebalance_count long"
+    doubles = ", ".join(f"{name} double" for name in SUMMARY_DOUBLES)
+    schema = f"{kinds}, {doubles}, parameters map<string,string>"
+    stored = spark.read.schema(schema).json(f"{_research_files(spark, sf_dir)}/summary")
+    parameters = [
+        F.col("parameters")[name].cast(kind).alias(name) for name, kind in (("top_n", "int"), ("cost_bps", "double"))
+    ]
+    return _fixed_columns(stored.select("*", *parameters).drop("parameters"), *SUMMARY_DOUBLES)
+
+
+@query
+def bucketed_volatility(spark, sf_dir):
+    """Rolling volatility on bars stored in buckets by symbol, whose windows need no shuffle."""
+    name = f"bars_{uuid.uuid4().hex}"
+    bars = adapters.type_bars(spark, sf_dir).select("symbol", "date", "close")
+    sinks.write_bucketed(bars, name, settings.BUCKETS, f"{_folder(spark, 'buckets')}/bars")
+    return _fixed_columns(volatility_of(spark.table(name)), "vol_5", "vol_20")
+
+
+def volatility_of(bars: DataFrame) -> DataFrame:
+    slotted = attach_slots(bars, pin(slot_calendar(bars), "calendar"))
+    returns = slotted.select("symbol", "date", "pos", rolling.simple_return(F.col("close")).alias("ret"))
+    return returns.select("symbol", "date", *[rolling.volatility(F.col("ret"), n).alias(f"vol_{n}") for n in (5, 20)])

@@ -90,6 +90,8 @@ RESEARCH_POOL = {
     "max_stale_days": 20,
     "min_median_amount": 40_000.0,
 }
+# Buckets of a table stored by symbol.
+BUCKETS = 4
 # As-of join over events: rows above which a user is cut into buckets.
 HOT_USER_ROWS = 60
 
