@@ -3,13 +3,14 @@
 A page is cut into text blocks, and structure tells what is no part of an article: scripts, menus,
 adverts, comments and the like. Then a host's pages are concatenated as streams of words, and a
 suffix array over them finds long runs of words repeated on many distinct pages. Such runs are
-template text and are removed; unique runs stay. Articles that pages mark as such and all other text
-are separate streams: quotations and passages that some articles share inside their paragraphs are
-content, so in a marked article only what half of the host's articles repeat is a template wherever it
-stands, while in unmarked text a few pages suffice. Where repeated runs span a whole block of an
-article, a tenth of the articles suffices, or a template outside of them. Pages that are equal count
-once, and so do articles that are nearly equal, so copies of a page do not make it a template. A host's streams are cut into parts of a bounded number of pages, so a host with a third of
-all pages is no single task.
+template text and are removed; unique runs stay.
+
+Articles that pages mark as such are streams of their own. Quotations, headlines and passages that some
+articles share are content, so there only a whole block goes, and only if one unbroken run that half of
+the host's distinct articles repeat covers it; headings stay. On pages that mark no article a few pages
+suffice, and runs go wherever they stand. Pages that are equal count once, and so do articles that are
+nearly equal, so copies of a page do not make it a template. A host's streams are cut into parts of a
+bounded number of pages and bytes, so a host with a third of all pages is no single task.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +35,8 @@ RUN_WORDS = 6
 PAGES, SHARE = 3, 0.02
 #: The same for marked articles; the share is that of a part of the host's articles.
 ARTICLES, ARTICLE_SHARE = 5, 0.5
-#: The share that suffices for runs that span a whole block of an article.
-BLOCK_SHARE = 0.1
-#: Pages of a host whose streams are sorted together.
-PART_PAGES = 500
+#: Pages of a host whose streams are sorted together, about, and bytes of their text.
+PART_PAGES, PART_BYTES = 500, 16_000_000
 #: A page keeps its text if templates cover more of it than this; articles are nearly equal if common
 #: runs cover more of both.
 COVERED = 0.8
@@ -44,7 +44,7 @@ COVERED = 0.8
 SENT_RUNS = 2_000_000
 
 # Elements and labels that HTML and its authors give to what is no article text.
-RAW = {"script", "style", "noscript", "template", "iframe", "svg", "canvas", "object", "math", "xmp"}
+RAW = {"script", "style", "noscript", "template", "iframe", "svg", "canvas", "object", "math", "xmp", "title"}
 DROPPED = {
     "nav", "footer", "aside", "form", "button", "select", "textarea", "dialog", "menu", "head", "label", "fieldset",
     "video", "audio", "map", "datalist",
@@ -57,6 +57,8 @@ DROPPED_LABELS = set(
     "recommended recommendations newsletter subscribe subscription signup login popup modal overlay pagination "
     "pager toolbar hidden".split()
 )
+#: Of these, the ones that also take an element out of running text.
+ADVERT_LABELS = {"ad", "ads", "adsbygoogle", "adv", "advert", "adverts", "advertisement", "advertising", "sponsored", "hidden"}
 OUTER_LABELS = {"header", "masthead", "topbar"}
 ARTICLE_LABELS = {"article", "articlebody", "entry", "post", "story", "content", "main"}
 VOID = {
@@ -68,6 +70,9 @@ INLINE = {
     "tt", "u", "var",
 }
 SPACING = {"br", "wbr", "img"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: Elements whose end tags are optional.
+OPTIONAL = {"p", "li", "dt", "dd", "tr", "td", "th", "option"}
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
@@ -81,8 +86,11 @@ _PARTS = re.compile(r"[^a-z0-9]+")
 OUTSIDE, LOOSE, CLASSED, MAIN, ARTICLE = range(5)
 
 
-def _judge(name: str, attributes: str, inside: bool) -> tuple[bool, int]:
-    """Whether an element is dropped, and the kind of article container that it is."""
+def _judge(name: str, attributes: str, inside: bool, running: bool = False) -> tuple[bool, int]:
+    """Whether an element is dropped, and the kind of article container that it is.
+
+    ``running`` tells that the element stands in running text, where fewer labels count.
+    """
     drop, kind = name in DROPPED or (name == "header" and not inside), LOOSE
     if name == "article":
         kind = ARTICLE
@@ -100,31 +108,47 @@ def _judge(name: str, attributes: str, inside: bool) -> tuple[bool, int]:
             kind = max(kind, MAIN if "main" in words else LOOSE)
         elif name not in ("html", "body", "main"):
             if label in ("class", "id"):
-                drop |= bool(words & DROPPED_LABELS) or (not inside and bool(words & OUTER_LABELS))
+                drop |= bool(words & (ADVERT_LABELS if running else DROPPED_LABELS)) or (not inside and bool(words & OUTER_LABELS))
             if words & ARTICLE_LABELS and name not in INLINE:
                 kind = max(kind, CLASSED)
     return drop, kind
 
 
-def page_blocks(page: str) -> list[tuple[int, str]]:
-    """(kind, text) of every text block in page order; kinds tell the innermost article container."""
-    blocks: list[tuple[int, str]] = []
+def page_blocks(page: str) -> list[tuple[int, str, bool]]:
+    """(kind, text, is a heading) of every text block in page order.
+
+    Kinds tell the innermost article container. Text inside of dropped inline elements is in no block.
+    """
+    blocks: list[tuple[int, str, bool]] = []
     words: list[str] = []
-    stack: list[tuple[str, bool, int]] = []
-    kind, drop = LOOSE, False
+    # open elements with the state outside of them, and how many of each name there are
+    stack: list[tuple[str, bool, int, bool]] = []
+    opened: dict[str, int] = {}
+    kind, drop, mute, muted_at, heading = LOOSE, False, False, 0, False
 
     def flush() -> None:
         if words:
             text = " ".join("".join(words).split())
             if text:
-                blocks.append((OUTSIDE if drop else kind, text))
+                blocks.append((OUTSIDE if drop else kind, text, heading))
             words.clear()
 
+    def push(name: str) -> None:
+        stack.append((name, drop, kind, mute))
+        opened[name] = opened.get(name, 0) + 1
+
+    def close(depth: int) -> tuple[bool, int, bool]:
+        for name, *_ in stack[depth:]:
+            opened[name] -= 1
+        _, *outside = stack[depth]
+        del stack[depth:]
+        return tuple(outside)
+
     at = 0
     while True:
         found = _TOKEN.search(page, at)
         text = page[at : found.start()] if found else page[at:]
-        if text:
+        if text and not mute:
             words.append(html.unescape(text) if "&" in text else text)
         if not found:
             break
@@ -134,14 +158,16 @@ def page_blocks(page: str) -> list[tuple[int, str]]:
             continue
         name = name.lower()
         if found[1]:
-            if name in INLINE:
-                continue
-            flush()
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] == name:
-                    _, drop, kind = stack[depth]
-                    del stack[depth:]
-                    break
+            if name not in INLINE:
+                flush()
+                heading &= name not in HEADINGS
+                if mute and all(inner != name for inner, *_ in stack[muted_at + 1 :]):
+                    drop, kind, mute = close(muted_at)  # a block that ends takes what is open inside along
+            if opened.get(name):
+                depth = len(stack) - 1
+                while stack[depth][0] != name:
+                    depth -= 1
+                drop, kind, mute = close(depth)
             continue
         if name in RAW:
             closer = None if found[3].endswith("/") else _CLOSERS[name].search(page, at)
@@ -158,61 +184,61 @@ def page_blocks(page: str) -> list[tuple[int, str]]:
                 flush()
             continue
         if name in INLINE:
-            if found[3] and not drop and _judge(name, found[3], kind > LOOSE)[0]:
-                flush()
-                stack.append((name, drop, kind))
-                drop = True
-                # an inline element that is dropped ends with its own end tag
-                end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
-                if end:
-                    text = " ".join(html.unescape(_TOKEN.sub(" ", page[at : end.start()])).split())
-                    if text:
-                        blocks.append((OUTSIDE, text))
-                    at = end.end()
-                _, drop, kind = stack.pop()
+            if mute:
+                push(name)
+            elif found[3] and not drop and _judge(name, found[3], kind > LOOSE, not "".join(words).isspace() and bool(words))[0]:
+                muted_at = len(stack)
+                push(name)
+                mute = True
+                words.append(" ")
             continue
         flush()
-        if name in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and not found[3].strip():
-            continue  # end tags are optional, and plain ones change nothing
-        dropped, own = _judge(name, found[3], kind > LOOSE)
-        if name in ("p", "li", "dt", "dd", "tr", "td", "th", "option"):
-            # a labelled one ends where another of its name begins or its parent ends
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] == name:
-                    _, drop, kind = stack[depth]
-                    del stack[depth:]
+        if stack and (stack[-1][0] == "p" or name in OPTIONAL):
+            # a paragraph ends where a block begins, others where one of their name does
+            depth = len(stack)
+            while depth and stack[depth - 1][0] in OPTIONAL:
+                depth -= 1
+            for at_depth in range(depth, len(stack)):
+                if stack[at_depth][0] in ("p", name):
+                    drop, kind, mute = close(at_depth)
                     break
-        stack.append((name, drop, kind))
+        heading = name in HEADINGS or (heading and name not in OPTIONAL)
+        if name in OPTIONAL and not found[3].strip() and not mute:
+            continue  # plain ones change nothing
+        dropped, own = _judge(name, found[3], kind > LOOSE)
+        push(name)
         drop, kind = drop or dropped, max(kind, own)
     flush()
     return blocks
 
 
-def split_page(page: str | None) -> tuple[str, str, bool]:
-    """Text of the article's blocks, text outside, and whether the page says where the article is."""
+def split_page(page: str | None) -> tuple[str, str, bool, list[int]]:
+    """Text of the article's blocks, text outside, whether the page marks its article, and its headings' lines."""
     blocks = page_blocks(page) if page else []
-    sizes = [sum(len(t) for k, t in blocks if k == kind) for kind in range(5)]
+    sizes = [sum(len(t) for k, t, _ in blocks if k == kind) for kind in range(5)]
     best = LOOSE
     for kind in (ARTICLE, MAIN, CLASSED):
         if sum(sizes[kind:]) * 4 >= sum(sizes[LOOSE:]) and sum(sizes[kind:]):
             best = kind
             break
-    own = "\n".join(t for k, t in blocks if k >= best)
-    other = "\n".join(t for k, t in blocks if k < best)
-    return own, other, best > LOOSE
+    own = [(t, h) for k, t, h in blocks if k >= best]
+    other = "\n".join(t for k, t, _ in blocks if k < best)
+    return "\n".join(t for t, _ in own), other, best > LOOSE, [n for n, (_, h) in enumerate(own) if h]
 
 
-_PARSED = "row long, page_id long, url string, host string, own string, other string, marked boolean"
+_PARSED = (
+    "row long, page_id long, url string, host string, own string, other string, marked boolean, heads array<int>"
+)
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in tokens.chunks(batch, "html", 8 * tokens.CHUNK_BYTES):
-            own, other, marked = zip(*map(split_page, part.column("html").to_pylist()), strict=True)
+            own, other, marked, heads = zip(*map(split_page, part.column("html").to_pylist()), strict=True)
             yield pa.RecordBatch.from_arrays(
                 [part.column("row"), part.column("page_id"), part.column("url"), part.column("host"),
-                 pa.array(own), pa.array(other), pa.array(marked)],
-                ["row", "page_id", "url", "host", "own", "other", "marked"],
+                 pa.array(own), pa.array(other), pa.array(marked), pa.array(heads, pa.list_(pa.int32()))],
+                ["row", "page_id", "url", "host", "own", "other", "marked", "heads"],
             )
 
 
@@ -236,12 +262,61 @@ def repeated_runs(stream: np.ndarray, page: np.ndarray, width: int) -> tuple[np.
     return start[order], have[start[order]]
 
 
+def _pages_of(key: np.ndarray, page: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers for equal keys, and the distinct pages of each number."""
+    _, number = np.unique(key, return_inverse=True)
+    width = int(page.max(initial=0)) + 1
+    return number, np.bincount(np.unique(number * width + page) // width, minlength=int(number.max(initial=-1)) + 1)
+
+
+def repeated_spans(
+    stream: np.ndarray, page: np.ndarray, unit: np.ndarray, first: np.ndarray, size: np.ndarray, least: int, width: int
+) -> np.ndarray:
+    """Whether each span of a token stream stands on at least ``least`` distinct units of pages.
+
+    Spans are given by their first tokens and sizes; they lie inside a page, and those of less than
+    ``width`` tokens do not count. Prefix doubling goes on from ``width`` tokens while any run is on enough
+    pages, which orders the suffixes that matter as far as enough of them agree. A span of any size is the
+    pair of its first and its last tokens under the largest doubled length within it.
+    """
+    n = len(stream)
+    found = np.zeros(len(first), bool)
+    start, rank = repeated_runs(stream, page, width) if n >= width else (np.empty(0, np.int64), np.empty(0, np.int64))
+    of = unit[page]
+    last = np.searchsorted(page, page, "right")  # where each position's page ends
+
+    def often(at: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        number, pages = _pages_of(key, of[at])
+        good = pages[number] >= least
+        ranks = np.full(n, -1, np.int64)
+        ranks[at[good]] = number[good]
+        return at[good], ranks
+
+    def pairs(level: np.ndarray, at: np.ndarray, shift: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+        at = at[at + length <= last[at]]
+        at = at[level[at + shift] >= 0]
+        return often(at, level[at] * n + level[at + shift])
+
+    levels = [often(start, rank)]
+    while len(levels[-1][0]):
+        at, level = levels[-1]
+        reach = width << (len(levels) - 1)
+        levels.append(pairs(level, at, reach, 2 * reach))
+    for length in np.unique(size[size >= width]).tolist():
+        k = (length // width).bit_length() - 1
+        if k < len(levels):
+            at, level = levels[k]
+            own = size == length
+            found[own] = np.isin(first[own], pairs(level, at, length - (width << k), length)[0])
+    return found
+
+
 def _host_key(host: str, kind: int) -> np.uint64:
     raw = np.frombuffer(f"{kind}{host}".encode(), np.uint8)
     return tokens.span_hash(raw, np.array([0]), np.array([len(raw)]))[0]
 
 
-OPEN, MARKED, BLOCK = 0, 1, 2
+OPEN, MARKED = 0, 1
 _PACKED = "host string, kind int, part long, keys binary, ends binary, texts binary"
 
 
@@ -300,6 +375,20 @@ def near_equal(page: np.ndarray, start: np.ndarray, run: np.ndarray, pages: np.n
     return unit
 
 
+class _lines:
+    """Lines of texts: their hashes, their first words and how many words they have."""
+
+    def __init__(self, raw: np.ndarray, off: np.ndarray, words: tokens.Words):
+        feeds = np.flatnonzero(raw == 10)
+        texts = off[:-1][np.diff(off) > 0]
+        start = np.sort(np.concatenate([texts, feeds + 1]))
+        end = np.sort(np.concatenate([off[1:][np.diff(off) > 0], feeds]))
+        self.doc = np.searchsorted(off, start, "right") - 1
+        self.hash = tokens.span_hash(raw, start, end)
+        self.first = np.searchsorted(words.start, start)
+        self.words = np.searchsorted(words.start, end) - self.first
+
+
 def _count_runs(table: pa.Table) -> pa.Table:
     """(host, kind, run, pages) of one part: runs of words and the distinct pages they stand on."""
     host, kind = table.column("host")[0].as_py(), table.column("kind")[0].as_py()
@@ -314,26 +403,23 @@ def _count_runs(table: pa.Table) -> pa.Table:
     words = tokens.split(raw, off)
     stream, page = tokens.word_hash(words), words.doc
     runs, pages = np.empty(0, np.uint64), np.empty(0, np.int64)
-    if len(stream) >= RUN_WORDS:
-        start, rank = repeated_runs(stream, page, RUN_WORDS)
-        if len(start):
-            # suffixes of one rank lie together, and within it in the order of their pages
-            head = np.concatenate([[True], rank[1:] != rank[:-1]])
-            fresh = head | np.concatenate([[True], page[start[1:]] != page[start[:-1]]])
-            pages = np.bincount(np.cumsum(head) - 1, fresh).astype(np.int64)
-            first = start[head]
+    start, rank = repeated_runs(stream, page, RUN_WORDS) if len(stream) >= RUN_WORDS else (runs, pages)
+    if len(start):
+        # suffixes of one rank lie together, and within it in the order of their pages
+        head = np.concatenate([[True], rank[1:] != rank[:-1]])
+        fresh = head | np.concatenate([[True], page[start[1:]] != page[start[:-1]]])
+        run = np.cumsum(head) - 1
+        pages = np.bincount(run, fresh).astype(np.int64)
+        if kind == MARKED:
+            unit = near_equal(page, start, run, pages)
+            least = max(ARTICLES, int(np.ceil(ARTICLE_SHARE * len(np.unique(unit)))))
+            lines = _lines(raw, off, words)
+            whole = repeated_spans(stream, page, unit, lines.first, lines.words, least, RUN_WORDS)
+            runs = np.unique(tokens.mix(lines.hash[whole] ^ _host_key(host, MARKED), 21))
+            pages = np.full(len(runs), least)
+        else:
             windows, _ = tokens.window_hash(stream, np.array([0, len(stream)]), RUN_WORDS)
-            if kind == MARKED:
-                run = np.cumsum(head) - 1
-                unit = near_equal(page, start, run, pages)
-                pairs = np.unique(run * len(unit) + unit[page[start]]) // len(unit)
-                pages, n = np.bincount(pairs), len(np.unique(unit))
-                often, some = (pages >= max(ARTICLES, int(np.ceil(x * n))) for x in (ARTICLE_SHARE, BLOCK_SHARE))
-                anywhere = tokens.mix(windows[first[often]] ^ _host_key(host, MARKED), 21)
-                blocks = tokens.mix(windows[first[some]] ^ _host_key(host, BLOCK), 21)
-                runs, pages = np.concatenate([anywhere, blocks]), np.concatenate([pages[often], pages[some]])
-            else:
-                runs = tokens.mix(windows[first] ^ _host_key(host, kind), 21)
+            runs = tokens.mix(windows[start[head]] ^ _host_key(host, kind), 21)
     return pa.table(
         {
             "host": pa.array([host] * len(runs), pa.string()),
@@ -344,48 +430,65 @@ def _count_runs(table: pa.Table) -> pa.Table:
     )
 
 
-def _cleaned(own: pa.Array, hosts: list[str | None], marked: np.ndarray, known: np.ndarray) -> list[str]:
-    """Texts without words that lie in template runs of their host."""
+class Templates(NamedTuple):
+    """Sorted template runs: windows of words on unmarked pages, and whole blocks of marked articles."""
+
+    open: np.ndarray
+    marked: np.ndarray
+
+    @classmethod
+    def of(cls, table: pa.Table) -> Templates:
+        runs, kind = table.column("run").to_numpy().view(np.uint64), table.column("kind").to_numpy()
+        return cls(np.sort(runs[kind == OPEN]), np.sort(runs[kind == MARKED]))
+
+
+def _known(runs: np.ndarray, known: np.ndarray) -> np.ndarray:
+    slot = np.minimum(np.searchsorted(known, runs), len(known) - 1)
+    return known[slot] == runs
+
+
+def _cleaned(own: pa.Array, hosts: list[str | None], marked: np.ndarray, heads: list[list[int]], known: Templates) -> list[str]:
+    """Texts without what lies in template runs of their host.
+
+    A page that templates cover for the most part stays: it is no template but one of many copies.
+    """
     texts = own.to_pylist()
-    if not len(known):
-        return texts
-    raw, off = tokens.utf8(own)
-    words = tokens.split(tokens.LOWER[raw], off)
-    h = tokens.word_hash(words)
-    windows, ptr = tokens.window_hash(h, words.ptr, RUN_WORDS)
-    place = np.repeat(np.arange(len(texts)), np.diff(ptr))
-    start = np.arange(len(windows)) - ptr[place] + words.ptr[place]
     usable = np.array([x is not None for x in hosts], bool)
-
-    def lying(kind: int, pages: np.ndarray) -> np.ndarray:
-        names = {x: _host_key(x or "", kind) for x in set(hosts)}
-        runs = tokens.mix(windows ^ np.array([names[x] for x in hosts], np.uint64)[place], 21)
-        slot = np.minimum(np.searchsorted(known, runs), len(known) - 1)
-        return _covered(start[(known[slot] == runs) & pages[place]], len(h))
-
-    templates = lying(OPEN, usable)
-    anywhere = np.where(marked[words.doc], lying(MARKED, usable & marked), templates)
-    spanned = anywhere | templates | lying(BLOCK, usable & marked)
-    for d in np.unique(words.doc[spanned]).tolist():
-        covered, whole = (x[words.ptr[d] : words.ptr[d + 1]].copy() for x in (anywhere, spanned))
-        if marked[d]:
-            at = 0
-            for line in texts[d].split("\n"):
-                n = len(tokens.words_of(pa.array([line])).start)
-                if n >= RUN_WORDS and whole[at : at + n].all():
-                    covered[at : at + n] = True
-                at += n
-        if not covered.any() or covered.mean() > COVERED:
-            continue  # in the latter case not a template but a page of which there are many
-        lines, at = [], 0
-        for line in texts[d].split("\n"):
-            n = len(tokens.words_of(pa.array([line])).start)
-            # pieces as the word finder sees them; blanks in a block are single
-            kept = [w for w, c in zip(re.findall(r"[^\x20\x09-\x0D]+", line), covered[at : at + n], strict=True) if not c]
-            at += n
-            if kept:
-                lines.append(" ".join(kept))
-        texts[d] = "\n".join(lines)
+    for kind, runs in ((MARKED, known.marked), (OPEN, known.open)):
+        some = np.flatnonzero(usable & (marked == (kind == MARKED)))
+        if not len(some) or not len(runs):
+            continue
+        raw, off = tokens.utf8(own.take(pa.array(some)))
+        words = tokens.split(tokens.LOWER[raw], off)
+        keys = {x: _host_key(x, kind) for x in {hosts[k] for k in some}}
+        key = np.array([keys[hosts[k]] for k in some], np.uint64)
+        lines = _lines(words.raw, off, words)
+        if kind == MARKED:
+            gone = _known(tokens.mix(lines.hash ^ key[lines.doc], 21), runs)
+            for d in np.unique(lines.doc[gone]).tolist():
+                here = np.flatnonzero(lines.doc == d)
+                out = gone[here]
+                out[[n for n in heads[some[d]] if n < len(out)]] = False
+                if lines.words[here][out].sum() <= COVERED * lines.words[here].sum():
+                    kept = [x for x, leave in zip(texts[some[d]].split("\n"), out.tolist(), strict=True) if not leave]
+                    texts[some[d]] = "\n".join(kept)
+            continue
+        hashes = tokens.word_hash(words)
+        windows, ptr = tokens.window_hash(hashes, words.ptr, RUN_WORDS)
+        place = np.repeat(np.arange(len(some)), np.diff(ptr))
+        start = np.arange(len(windows)) - ptr[place] + words.ptr[place]
+        covered = _covered(start[_known(tokens.mix(windows ^ key[place], 21), runs)], len(hashes))
+        for d in np.unique(words.doc[covered]).tolist():
+            if covered[words.ptr[d] : words.ptr[d + 1]].mean() > COVERED:
+                continue
+            kept = []
+            for line in np.flatnonzero(lines.doc == d).tolist():
+                its = range(lines.first[line], lines.first[line] + lines.words[line])
+                # pieces as the word finder sees them; blanks in a block are single
+                left = [raw[words.start[w] : words.end[w]].tobytes().decode() for w in its if not covered[w]]
+                if left:
+                    kept.append(" ".join(left))
+            texts[some[d]] = "\n".join(kept)
     return texts
 
 
@@ -397,8 +500,9 @@ def main_text(pages: DataFrame) -> DataFrame:
 
     ``text`` holds the blocks of the article in page order, one on each line, with white space inside
     a block as one blank and character references decoded. Blocks lie in the page's article or main
-    element, or else in one labelled as such, or else anywhere outside of dropped elements. A null or
-    empty page has an empty text. Pages without a host in their url are cut by structure alone. Ids
+    element, or else in one labelled as such, or else anywhere outside of dropped elements. Of a marked
+    article whole blocks go that half of the host's distinct articles (five at least) repeat, but no
+    headings; of other pages the runs of words that the host's pages repeat. A null or empty page has an empty text. Pages without a host in their url are cut by structure alone. Ids
     and urls pass through as they are, null or repeated; other columns are not read. An empty table
     gives an empty result.
     """
@@ -419,14 +523,15 @@ def main_text(pages: DataFrame) -> DataFrame:
         F.struct(F.lit(OPEN).alias("kind"), page.alias("key"), open_text.alias("stream")),
         F.struct(F.lit(MARKED).alias("kind"), article.alias("key"), F.when(F.col("marked"), F.col("own")).alias("stream")),
     )
-    streams = (
-        parsed.where("host IS NOT NULL")
-        .select("host", F.inline(both))
-        .where("stream != ''")
-    )
-    distinct = streams.select("host", "kind", "key").distinct()
-    sizes = pin(distinct.groupBy("host", "kind").agg(F.count("*").alias("host_pages")), "hosts")
-    parts = F.ceil(F.col("host_pages") / PART_PAGES).cast("long")
+    # text outside of articles matters only where a host has pages that mark none
+    kinds = F.when(F.col("marked"), MARKED).otherwise(OPEN).alias("kind")
+    wanted = pin(parsed.where("host IS NOT NULL").select("host", kinds).distinct(), "hosts")
+    streams = parsed.where("host IS NOT NULL").select("host", F.inline(both)).where("stream != ''")
+    streams = streams.join(wanted, ["host", "kind"], "left_semi")
+    distinct = streams.groupBy("host", "kind", "key").agg(F.max(F.octet_length("stream")).alias("bytes"))
+    sizes = distinct.groupBy("host", "kind").agg(F.count("*").alias("host_pages"), F.sum("bytes").alias("bytes"))
+    sizes = pin(sizes, "sizes")
+    parts = F.ceil(F.greatest(F.col("host_pages") / PART_PAGES, F.col("bytes") / PART_BYTES)).cast("long")
     counted = (
         streams.join(sizes, ["host", "kind"])
         .select("host", "kind", F.pmod("key", parts).alias("part"), "key", "stream")
@@ -442,7 +547,7 @@ def main_text(pages: DataFrame) -> DataFrame:
         .agg(F.sum("pages").alias("pages"))
         .join(sizes, ["host", "kind"])
         .where(F.col("pages") >= enough)
-        .select("host", "run"),
+        .select("host", "kind", "run"),
         "templates",
     )
     found = templates.count()
@@ -450,11 +555,11 @@ def main_text(pages: DataFrame) -> DataFrame:
     return result.withColumn("n_chars", F.char_length("text").cast("long"))
 
 
-def _emit(table: pa.RecordBatch | pa.Table, known: np.ndarray) -> pa.RecordBatch:
+def _emit(table: pa.RecordBatch | pa.Table, known: Templates) -> pa.RecordBatch:
     own = table.column("own")
     own = own.combine_chunks() if isinstance(own, pa.ChunkedArray) else own
     marked = np.array(table.column("marked").to_pylist(), bool)
-    texts = _cleaned(own, table.column("host").to_pylist(), marked, known)
+    texts = _cleaned(own, table.column("host").to_pylist(), marked, table.column("heads").to_pylist(), known)
     columns = [table.column(c) for c in ("page_id", "url")]
     columns = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns]
     return pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.string())], ["page_id", "url", "text"])
@@ -462,8 +567,7 @@ def _emit(table: pa.RecordBatch | pa.Table, known: np.ndarray) -> pa.RecordBatch
 
 def _sent(parsed: DataFrame, templates: DataFrame) -> DataFrame:
     """Every task gets all template runs, whose number was checked."""
-    runs = templates.select("run").toArrow().column("run").to_numpy().view(np.uint64)
-    sent = parsed.sparkSession.sparkContext.broadcast(np.sort(runs))
+    sent = parsed.sparkSession.sparkContext.broadcast(Templates.of(templates.select("run", "kind").toArrow()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -481,13 +585,12 @@ def _joined(parsed: DataFrame, templates: DataFrame) -> DataFrame:
     placed = parsed.join(own, F.col("host").eqNullSafe(F.col("of")))
     placed = placed.withColumn("part", F.pmod(F.xxhash64("row"), parts)).drop("of", "n")
     spread = templates.join(sizes, "host").select(
-        "host", "run", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part")
+        "host", "kind", "run", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part")
     )
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return pa.table({"page_id": pa.array([], pa.int64()), "url": pa.array([], pa.string()), "text": pa.array([], pa.string())})
-        known = np.sort(right.column("run").to_numpy().view(np.uint64))
-        return pa.Table.from_batches([_emit(left, known)])
+        return pa.Table.from_batches([_emit(left, Templates.of(right))])
 
     return placed.groupBy("host", "part").cogroup(spread.groupBy("host", "part")).applyInArrow(run, _OUT)
