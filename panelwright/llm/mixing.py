@@ -1,7 +1,8 @@
 """Mixing sources to target weights by Efraimidis-Spirakis sampling, in DataFrame operations only.
 
 Every document draws an exponential key, ``-ln(u) / quality``, with ``u`` from a hash of its id: in
-the order of these keys a source is a weighted sample without replacement of any length. A source
+the order of these keys a source is a weighted sample without replacement of any length. Rows that share
+an id draw by their text and their number among equal rows as well, so each has a key of its own. A source
 whose target exceeds its size gives whole epochs first; what is left is taken in key order until a
 prefix sum of sizes meets the budget. Only the bucket of keys in which a source's budget ends is
 ever sorted, so a source with a third of all documents is not sorted in one task.
@@ -34,9 +35,8 @@ def quality_weight(text: str = "text", size: Column | None = None) -> Column:
     return F.greatest(F.lit(0.05), 1 - symbols / words)
 
 
-def exponential_key(weight: Column, doc_id: str = "doc_id", seed: int = 0) -> Column:
-    """-ln(u) / weight; u in (0, 1) has 48 bits and depends on the id and the seed alone."""
-    name = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit("null")))
+def exponential_key(weight: Column, name: Column) -> Column:
+    """-ln(u) / weight; u in (0, 1) has 48 bits and depends on the name alone."""
     bits = F.conv(F.substring(F.md5(name), 1, 12), 16, 10).cast("long")
     return -F.log((bits + 0.5) / float(2**48)) / weight
 
@@ -68,18 +68,56 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, epo
     return rows.select("source", "docs", "total", "mean_weight", target.alias("target"))
 
 
-def _draws(documents: DataFrame, seed: int) -> DataFrame:
+def _draws(documents: DataFrame) -> DataFrame:
     sized = documents.withColumn("size", word_count())
-    weighted = sized.withColumn("quality_weight", quality_weight(size=F.col("size")))
-    return weighted.withColumn("key", exponential_key(F.col("quality_weight"), seed=seed))
+    return sized.withColumns(
+        {
+            "quality_weight": quality_weight(size=F.col("size")),
+            "text_key": F.xxhash64(F.coalesce("text", F.lit(""))),
+        }
+    )
+
+
+def _repeated_ids(draws: DataFrame) -> DataFrame:
+    """Ids of more than one row; the null id is one of them."""
+    counts = draws.groupBy(F.col("doc_id").alias("again")).agg(F.count("*").alias("rows"))
+    return pin(counts.where("rows > 1").select("again"), "repeated-ids")
+
+
+def _keyed(draws: DataFrame, repeated: DataFrame, seed: int) -> DataFrame:
+    """Draws with ``copy``, -1 where an id stands once, and ``key``.
+
+    Rows that agree in id, source and text are numbered from 0. Which of them has which number does not
+    matter, so tasks number their own rows and only the counts of tasks meet.
+    """
+    plain = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
+    longer = F.concat_ws(":", plain, F.col("text_key").cast("string"), F.col("copy").cast("string"))
+    name = F.when(F.col("copy") < 0, plain).otherwise(longer)
+    key = exponential_key(F.col("quality_weight"), name)
+    once = F.lit(-1).cast("long")
+    if repeated.isEmpty():
+        return draws.withColumn("copy", once).withColumn("key", key)
+    same = F.col("doc_id").eqNullSafe(F.col("again"))
+    alone = draws.join(repeated, same, "left_anti").withColumn("copy", once)
+    equal = F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("source").isNull(), "source", "text_key")
+    rows = draws.join(repeated, same, "left_semi").withColumns({"equal": equal, "task": F.spark_partition_id()})
+    rows = pin(rows, "repeated-rows")
+    own = rows.groupBy("equal", "task").agg(F.count("*").alias("rows"))
+    before = F.sum("rows").over(W.partitionBy("equal").orderBy("task")) - F.col("rows")
+    local = F.row_number().over(W.partitionBy("equal", "task").orderBy("size")) - 1
+    numbered = rows.withColumn("local", local).join(own.withColumn("before", before), ["equal", "task"])
+    numbered = numbered.withColumn("copy", (F.col("before") + F.col("local")).cast("long"))
+    return alone.unionByName(numbered.select(alone.columns)).withColumn("key", key)
 
 
 def _order() -> Column:
-    """Order of the draw; rows that agree in all of it share their fate."""
+    """Order of the draw; rows that agree in all of it are equal, and so is what becomes of them."""
     return F.struct(
         F.col("key").alias("key"),
         F.coalesce(F.col("doc_id"), F.lit(-(2**63))).alias("doc_id"),
         F.col("size").alias("size"),
+        F.col("text_key").alias("text_key"),
+        F.col("copy").alias("copy"),
     )
 
 
@@ -163,13 +201,12 @@ def mix_sources(
     ``size`` counts words (a null text has none), ``target`` is the words a source shall give,
     ``repeats`` how often the mix takes the document, ``taken`` the words it so takes. A null source
     is a source of its own, after all others. Documents without words cost nothing and repeat like
-    their source. Rows equal in id and size share their fate; a null id draws like any other. An
-    empty table gives an empty result; other columns are not read.
+    their source. Rows that share an id, null or not, draw each on its own; of equal rows a part may be
+    taken once more, any of them. An empty table gives an empty result; other columns are not read.
     """
-    draws = pin(
-        _draws(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text"), seed).drop("text"),
-        "draws",
-    )
+    draws = _draws(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text"))
+    draws = pin(draws.drop("text"), "draws")
+    draws = pin(_keyed(draws, _repeated_ids(draws), seed), "keyed")
     plan = plan_mix(draws, weights=weights, share=share, epochs=epochs, bucket_rows=bucket_rows)
     return _taken(draws, plan).select(
         "doc_id",
@@ -191,11 +228,17 @@ def mixed_documents(
     seed: int = 0,
     bucket_rows: int = BUCKET_ROWS,
 ) -> DataFrame:
-    """The mix itself: every document as often as ``mix_sources`` takes it, with its own columns."""
+    """The mix itself: every document as often as ``mix_sources`` takes it, with its own columns.
+
+    Nulls, empty texts, repeated ids and rows count as they do there; of equal rows the same number is
+    taken. Columns of any name stay as they are. An empty table gives an empty result.
+    """
     rows = documents.select(F.struct("*").alias("document"), F.col("doc_id").cast("long").alias("doc_id"), "source", "text")
-    slim = pin(_draws(rows.drop("document"), seed).drop("text"), "draws")
-    plan = plan_mix(slim, weights=weights, share=share, epochs=epochs, bucket_rows=bucket_rows)
-    taken = _taken(_draws(rows, seed).drop("text"), plan)
+    slim = pin(_draws(rows.drop("document")).drop("text"), "draws")
+    repeated = _repeated_ids(slim)
+    keyed = pin(_keyed(slim, repeated, seed), "keyed")
+    plan = plan_mix(keyed, weights=weights, share=share, epochs=epochs, bucket_rows=bucket_rows)
+    taken = _taken(_keyed(_draws(rows).drop("text"), repeated, seed), plan)
     return (
         taken.where("repeats > 0")
         .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("repeats"))))

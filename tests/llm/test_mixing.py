@@ -1,7 +1,9 @@
 import hashlib
 import math
+from collections import Counter
 
 import pytest
+import xxhash
 
 from panelwright.llm.mixing import mix_sources, mixed_documents
 from tests.llm.common import AWKWARD, DOCUMENTS, awkward, empty, small_documents, words
@@ -24,7 +26,7 @@ def brute(rows, weights=(5, 2, 1), epochs=3, seed=0):
         for s in above:
             target[s] = float(epochs * total[s])
             open_.remove(s)
-    out = []
+    out, ids, copies = [], Counter(r[0] for r in rows), Counter()
     for s in sources:
         draws = []
         for doc_id, x, text in rows:
@@ -33,8 +35,15 @@ def brute(rows, weights=(5, 2, 1), epochs=3, seed=0):
             size, body = len(words(text)), text or ""
             quality = max(0.05, 1 - sum(c in "#*$%&|<>" for c in body) / max(size, 1))
             name = f"{seed}:{'null' if doc_id is None else doc_id}"
+            text_key = xxhash.xxh64(body.encode(), seed=42).intdigest()
+            text_key -= 2**64 * (text_key >= 2**63)
+            copy = -1
+            if ids[doc_id] > 1:
+                copy = copies[doc_id, x, body]
+                copies[doc_id, x, body] += 1
+                name += f":{text_key}:{copy}"
             u = (int(hashlib.md5(name.encode()).hexdigest()[:12], 16) + 0.5) / 2**48
-            draws.append((-math.log(u) / quality, -(2**63) if doc_id is None else doc_id, size))
+            draws.append((-math.log(u) / quality, -(2**63) if doc_id is None else doc_id, size, text_key, copy))
         draws.sort()
         full = int(target[s] // total[s]) if total[s] else 0
         rest, before, chosen = target[s] - full * total[s], 0, set()
@@ -70,6 +79,21 @@ def test_every_source_meets_its_target(spark, bucket_rows):
     assert sorted(mix_sources(frame, bucket_rows=bucket_rows).collect()) == sorted(got)
 
 
+@pytest.mark.parametrize(("a", "b"), [(7, 8), (None, None), (7, 7)])
+@pytest.mark.parametrize("same_text", [False, True])
+def test_rows_that_share_an_id_meet_the_target(spark, a, b, same_text):
+    rows = [(i, s, "ten words " * 5 + ("" if same_text else f"{k}")) for i, s in ((a, "a"), (b, "b")) for k in range(100)]
+    frame = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(5)
+    got = mix_sources(frame, bucket_rows=20).collect()
+    mine = sorted(((r.doc_id, r.size, r.source_size, r.repeats) for r in got), key=key)
+    assert mine == sorted(((i, n, t, k) for i, n, t, _, k in brute(rows)), key=key)
+    for source in "ab":
+        own = [r for r in got if r.source == source]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= max(r.size for r in own) / 2
+    mixed = mixed_documents(frame, bucket_rows=20).groupBy("source").count().collect()
+    assert {r.source: r["count"] for r in mixed} == {s: sum(r.repeats for r in got if r.source == s) for s in "ab"}
+
+
 def test_the_mix_repeats_documents(spark):
     table = small_documents()
     frame = spark.createDataFrame(table)
