@@ -214,7 +214,8 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, rows: i
     """(doc_id, y, text, nth): labelled documents of the ``rows`` smallest hashes of their ids.
 
     A document with several labels counts as positive if one of them is; labels without a value,
-    and documents without an id, are not used.
+    and documents without an id, are not used. Of rows that repeat an id, the text with the smallest
+    hash is used, so the sample has ``rows`` rows at most.
     """
     votes = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy(
         F.col("doc_id").cast("long").alias("doc_id")
@@ -225,7 +226,8 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, rows: i
         "picked",
     )
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return pin(texts.join(picked, "doc_id").select("doc_id", "y", "nth", "text"), "sample")
+    labelled = texts.join(picked, "doc_id").groupBy("doc_id", "y", "nth")
+    return pin(labelled.agg(F.min_by("text", F.xxhash64("text")).alias("text")), "sample")
 
 
 def _count_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -342,7 +344,12 @@ def toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_toxic(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that score below the threshold, with their own columns."""
+    """The documents that score below the threshold, with their own columns, whatever their names.
+
+    Null and empty texts are scored as texts without words; repeated rows score alike and go or stay
+    together, null ids like any other. Without labels, or with labels of one class, every score is the
+    smoothed base rate. An empty table gives an empty result.
+    """
     model = train(documents, labels, F.lit(True))
     sent = documents.sparkSession.sparkContext.broadcast(model)
 

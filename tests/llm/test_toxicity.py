@@ -85,3 +85,15 @@ def test_awkward_rows(spark):
     assert kept.columns == awkward(spark).columns and kept.count() == 8
     plain = awkward(spark).withColumn("at", F.lit("2020-01-01").cast("timestamp"))
     assert tox.drop_toxic(plain, labels).dtypes == plain.dtypes
+
+
+def test_the_sample_has_one_row_for_an_id(spark):
+    rows = [(7, f"text {k}") for k in range(500)] + [(8, None), (9, "other")]
+    documents = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(7, 1), (8, 0), (9, 0)], "doc_id long, toxic int")
+    for bound in (1, 2, 10):
+        sample = tox.labelled_sample(documents, labels, "toxic", bound, F.lit(True)).collect()
+        assert len(sample) == len({r.doc_id for r in sample}) == min(bound, 3)
+    assert tox.labelled_sample(documents.repartition(7), labels, "toxic", 10, F.lit(True)).exceptAll(
+        tox.labelled_sample(documents, labels, "toxic", 10, F.lit(True))
+    ).isEmpty()
