@@ -361,13 +361,14 @@ def drop_near_duplicates(documents: DataFrame, **settings) -> DataFrame:
     """One row of each group of equal or linked documents, that of the smallest doc_id, with its own columns.
 
     Every row counts by its own text: rows that repeat a doc_id are one document only if their texts
-    are equal or linked. Rows with a null doc_id all stay.
+    are equal or linked. Rows with a null doc_id all stay, and so does one row of each id among texts
+    without words. Columns of any name stay as they are. An empty table gives an empty result.
     """
-    key = "_id_and_text"
-    named = documents.where("doc_id IS NOT NULL").withColumn(key, F.xxhash64("doc_id", "text"))
-    groups = near_duplicates(named.select(F.col(key).alias("doc_id"), "text"), **settings)
-    groups = groups.select(F.col("doc_id").alias(key), "component_id").distinct()
-    ids = named.select(key, F.col("doc_id").cast("long").alias("doc_id"))
-    first = groups.join(ids, key).groupBy("component_id").agg(F.min(F.struct("doc_id", key)).alias("first"))
-    kept = named.join(first.select(F.col("first")[key].alias(key)), key, "left_semi").dropDuplicates([key]).drop(key)
-    return kept.unionByName(documents.where("doc_id IS NULL")).select(documents.columns)
+    rows = documents.select(F.struct("*").alias("document"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    named = rows.where("doc_id IS NOT NULL").withColumn("key", F.xxhash64("doc_id", "text"))
+    groups = near_duplicates(named.select(F.col("key").alias("doc_id"), "text"), **settings)
+    groups = groups.select(F.col("doc_id").alias("key"), "component_id").distinct()
+    first = groups.join(named.select("key", "doc_id"), "key").groupBy("component_id")
+    first = first.agg(F.min(F.struct("doc_id", "key")).alias("first")).select("first.key")
+    kept = named.join(first, "key", "left_semi").dropDuplicates(["key"])
+    return kept.unionByName(rows.where("doc_id IS NULL").withColumn("key", F.lit(None).cast("long"))).select("document.*")

@@ -23,7 +23,7 @@ AWKWARD = [
 def awkward(spark, rows=AWKWARD):
     """The rows above, with extra columns whose names operators might use themselves."""
     frame = spark.createDataFrame(rows, DOCUMENTS)
-    for name in ("node", "key", "block", "shard", "size", "score", "row", "held_out", "text_key", "component_id"):
+    for name in ("node", "key", "block", "shard", "size", "score", "row", "held_out", "text_key", "component_id", "found_id", "found_key", "_id_and_text", "document", "own_key", "copy"):
         frame = frame.selectExpr("*", f"'{name}' AS {name}")
     return frame
 

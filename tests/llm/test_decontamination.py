@@ -61,6 +61,30 @@ def test_planted_passages_with_substitutions(spark):
     assert len(expected - pairs) <= 0.02 * len(expected)
 
 
+def test_recall_at_every_short_length(spark):
+    rng = random.Random(5)
+    items, documents = [], []
+    for n in range(4, 16):
+        for k in range(40):
+            passage = [f"i{n}_{k}_{j}" for j in range(n)]
+            items.append((100 * n + k, " ".join(passage)))
+            for at in rng.sample(range(n), rng.randrange(0, 1 + n // 4)):
+                passage[at] = "changed"
+            around = [f"t{rng.randrange(9999)}" for _ in range(20)]
+            documents.append((100 * n + k, " ".join(around[:9] + passage + around[9:])))
+    long = [f"long{j}" for j in range(40)]
+    items.append((1, " ".join(long)))
+    for phase in range(4):
+        documents.append((phase, " ".join(w if j % 4 != phase else "other" for j, w in enumerate(long))))
+    got = contaminated_passages(spark.createDataFrame(documents, "doc_id long, text string"), spark.createDataFrame(items, ITEM))
+    pairs = {(r.doc_id, r.item_id) for r in got.collect()}
+    expected = brute(documents, items)
+    assert pairs <= expected and {(phase, 1) for phase in range(4)} <= pairs
+    for n in range(4, 16):
+        own = {p for p in expected if p[1] // 100 == n}
+        assert len(own) >= 8 and len(own & pairs) >= (1.0 if n < 10 else 0.9) * len(own), n
+
+
 def test_the_small_tables(spark):
     documents = spark.read.parquet(f"{SMALL}/documents.parquet")
     benchmark = spark.read.parquet(f"{SMALL}/benchmark.parquet")
