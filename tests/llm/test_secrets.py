@@ -1,4 +1,4 @@
-from panelwright.llm.secrets import find_secrets
+from panelwright.llm.secrets import candidates, evidence, find_secrets, variants, with_features
 from tests.llm.common import SMALL, awkward, empty
 
 import re
@@ -43,3 +43,46 @@ def test_awkward_rows(spark):
     rows = [(None, "x 0123456789abcdef0123"), (4, "0123456789abcdef0123"), (4, "0123456789abcdef0123"), (5, "y" * 200_000 + " z9z9z9z9z9z9z9z9z9")]
     got = find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(r.doc_id or 0 for r in got) == [0, 4, 4, 5]
+
+
+def test_secrets_of_other_forms(spark):
+    """Unquoted, letter-only and short secrets, and what only looks like them: precision and recall."""
+    keys = ["sk9QxT4mLw8ZrB2vNc7HpD5yKf3GjS6a", "q7ZpL2xVw9Rk4TmB8cNf", "Zk8vQ1nXr5Jt0LbWc3Hd", "b6TyP9mKx2Rw7VqLn4Gz"]
+    secrets = (
+        [f"API_KEY={k}" for k in keys]
+        + [f"Authorization: Bearer {k}" for k in keys]
+        + [f'password = "{k}"' for k in ("Sh0rt!pw", "x9$Kq2vB", "T7#mWz4p!")]
+        + [f'client_secret: "{k}"' for k in ("qWzXkVbTnRpLmGhJdFsCyKxQvZtBwNrPgM", "hXvQzKwRtJpLbNmGfDsCyTxWkVqZrBnPjH")]
+        + [f"db2_primary_password_01 = {k}" for k in keys]
+    )
+    harmless = [
+        "password: changeme",
+        'api_key = "your_token_here"',
+        "The token: international agreements",
+        "author: Bartholomew Williamson",
+        "a secret: everybody knows",
+        "commit 3f2a9c1e7b5d4f6a8c0e2d4b6f8a1c3e5d7f9b0a was built",
+        "order: 9807915762804490",
+        "card 4929123412341234",
+        "the bearer of extraordinarily good news",
+        "password = xxxxxxxxxxxxxxxx",
+        "see chapter-2-of-the-long-book",
+    ]
+    frame = spark.read.parquet(f"{SMALL.replace('0.001', '0.01')}/documents.parquet").select("doc_id", "text")
+    planted = [(10_000_000 + k, f"Some words stand here. {x} and more follow.") for k, x in enumerate(secrets + harmless)]
+    # Learned from the table alone; what is planted is not among the findings.
+    findings = variants(evidence(with_features(candidates(frame))))
+    rows = find_secrets(spark.createDataFrame(planted, frame.schema), findings).collect()
+    want = {10_000_000 + k for k in range(len(secrets))}
+    got = {r.doc_id for r in rows if r.secret}
+    assert {r.doc_id for r in rows} >= want
+    assert len(got & want) >= 0.9 * len(want) and len(got & want) >= 0.9 * len(got), (want - got, got - want)
+
+
+def test_a_candidate_that_names_the_next(spark):
+    text = "x db2_primary_password_01 = q7ZpL2xVw9Rk4TmB8cNf, then 0123456789abcdef01 end"
+    got = candidates(spark.createDataFrame([(1, text)], "doc_id long, text string")).orderBy("nth").collect()
+    assert [r.candidate for r in got][-2:] == ["q7ZpL2xVw9Rk4TmB8cNf", "0123456789abcdef01"]
+    for r in got:
+        at = text.index(r.candidate)
+        assert r.before == text[max(0, at - 120) : at] and r.after == text[at + len(r.candidate) :][:60]
