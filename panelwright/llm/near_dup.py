@@ -9,9 +9,9 @@ enough it branches again, each document along further minwise shingles, until no
 tree and level has minwise shingles of its own, so trees miss a pair independently. In a small node all pairs
 are compared on their minwise signatures, which leaves the groups that may hold a link (most nodes
 have none: they share a common line), and those groups are compared exhaustively on full sets. The
-number of trees and the signature agreement asked for follow from the recall asked for. A node that
-stays large at the last level (documents that resemble each other all over) is compared in pairs of
-blocks, so nothing is capped.
+number of trees and the signature agreement asked for follow from the recall asked for. Documents of
+nodes that stay large at the last level (they resemble each other all over) are joined exactly, on
+their rarest shingles (``alike``), so nothing is capped.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelwright.llm import tokens
+from panelwright.llm.alike import meetings_of_alike
 from panelwright.llm.components import connected_components
 from panelwright.scratch import pin
 
@@ -273,6 +274,8 @@ def near_duplicates(
     trees = trees_for(numerator, denominator, miss)
     coordinates = max(SIGNATURE, trees * (1 + BRANCHES * LEVELS))
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # rows may repeat an id, with and without words
+    named = texts.where(F.col("doc_id").isNotNull() & F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     sketches = pin(
         texts.mapInArrow(
             partial(_sketch, width=shingle_words, coordinates=coordinates),
@@ -286,14 +289,19 @@ def near_duplicates(
 
     roots = _roots(alone.select("doc_id", "n_shingles", "minwise"), trees)
     open_paths = pin(_sized(roots), "paths")
-    closed = []
+    closed, links = [], None
     for level in range(LEVELS + 2):
         closed.append(open_paths.where(F.col("members") <= node_limit).select("node", "doc_id", "minwise"))
         large = open_paths.where(F.col("members") > node_limit)
         if large.isEmpty():
             break
         if level > LEVELS:
-            closed.append(_block_pairs(large, node_limit))
+            alike = pin(large.select("doc_id").distinct(), "alike")
+            meet, links = meetings_of_alike(
+                alike, named, width=shingle_words, numerator=numerator, denominator=denominator, limit=node_limit
+            )
+            signatures = alone.select("doc_id", F.slice("minwise", 1, SIGNATURE).alias("minwise"))
+            closed.append(meet.join(signatures, "doc_id").select("node", "doc_id", "minwise"))
             break
         if level == 0:
             narrower = _by_size(large.drop("members"), numerator / denominator)
@@ -319,7 +327,7 @@ def near_duplicates(
     once = marks.groupBy("n", "x", "y").agg(F.min("node").alias("node")).select("node")
     meetings = meetings.join(once, "node", "left_semi")
     edges = (
-        meetings.join(texts.where("doc_id IS NOT NULL"), "doc_id")
+        meetings.join(named, "doc_id")
         .repartition("node")
         .sortWithinPartitions("node")
         .select("node", "doc_id", "text")
@@ -328,7 +336,7 @@ def near_duplicates(
             "a long, b long",
         )
     )
-    components = connected_components(edges)
+    components = connected_components(edges.unionByName(links) if links is not None else edges)
 
     member = sketches.select("doc_id", "n_shingles", "set_a", "set_b").join(
         classes.withColumnsRenamed({"set_a": "own_a", "set_b": "own_b"}),
@@ -344,19 +352,6 @@ def near_duplicates(
     )
 
 
-def _block_pairs(large: DataFrame, limit: int) -> DataFrame:
-    """Cut a node into blocks and let every two blocks, and each block with itself, meet."""
-    blocks = F.ceil(F.col("members") * 2 / F.lit(limit)).cast("int")
-    own = F.pmod(F.xxhash64("doc_id", F.lit("block")), blocks.cast("long")).cast("int")
-    return (
-        large.withColumns({"blocks": blocks, "own": own})
-        .select("node", "doc_id", "own", "minwise", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-        .select(
-            F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("node"), "doc_id", "minwise"
-        )
-    )
-
-
 def drop_near_duplicates(documents: DataFrame, **settings) -> DataFrame:
     """One row of each group of equal or linked documents, that of the smallest doc_id, with its own columns.
 
