@@ -107,6 +107,50 @@ def test_every_layout_is_one_scan_of_the_columns_in_use(spark, tmp_path):
     assert got == {f"a{k}": (50, float(k), None) for k in range(30)} | {f"b{k}": (50, float(k), 7.0) for k in range(20)}
 
 
+def test_headers_of_many_small_files_take_few_tasks(spark, tmp_path, monkeypatch):
+    for k in range(300):
+        (tmp_path / f"symbol={k}").mkdir()
+        (tmp_path / f"symbol={k}" / "part.csv").write_text(f"date,close\n2024-01-02,{k}\n")
+    (tmp_path / "large.csv").write_text("close,date\n" + "7,2024-01-02\n" * 20)
+    asked, by_driver = [], files._first_lines_of
+    monkeypatch.setattr(files, "WHOLE_BYTES", 100)
+    monkeypatch.setattr(files, "_first_lines_of", lambda s, found, n: asked.extend(found) or by_driver(s, found, n))
+    context, before = spark.sparkContext, spark.conf.get(files.LISTING_TASKS)
+    context.setJobGroup("headers", "headers")
+    try:
+        rows = files.read_bar_files(spark, str(tmp_path)).groupBy("symbol").agg(F.max("close").alias("c")).collect()
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert {r.symbol: r.c for r in rows} == {str(k): float(k) for k in range(300)} | {"large": 7.0}
+    assert [file.rsplit("/", 1)[1] for file in asked] == ["large.csv"]
+    tracker = context.statusTracker()
+    stages = [k for job in tracker.getJobIdsForGroup("headers") for k in tracker.getJobInfo(job).stageIds]
+    assert stages and max(tracker.getStageInfo(k).numTasks for k in stages) < 200
+    assert spark.conf.get(files.LISTING_TASKS) == before
+
+
+def test_first_lines_are_the_same_whoever_reads_them(spark, tmp_path, monkeypatch):
+    lines = {
+        "a b+%41[x].csv": "\n \t\n\x1f\n date,close \n2024-01-02,1\n",
+        "bom.csv": "\ufeffdate,close\r\n2024-01-02,1\r\n",
+        "old.csv": "\r\rclose,date\r1,2024-01-02",
+        "wide.csv": "\u3000\ndate\n",
+        "blank.csv": "\n" * 50 + " " * 20_000,
+        "none.csv": "",
+    }
+    for name, text in lines.items():
+        (tmp_path / name).write_text(text, newline="")
+    with gzip.open(tmp_path / "c.csv.gz", "wt") as out:
+        out.write("\n\ndate,close\n2024-01-02,3\n")
+    whole = files.first_lines(spark, str(tmp_path))
+    monkeypatch.setattr(files, "WHOLE_BYTES", -1)
+    assert files.first_lines(spark, str(tmp_path)) == whole
+    assert {file.rsplit("/", 1)[1]: line for file, line in whole} == {
+        "a b+%41[x].csv": " date,close ", "bom.csv": "\ufeffdate,close", "old.csv": "close,date", "wide.csv": "\u3000",
+        "c.csv.gz": "date,close",
+    }
+
+
 def test_a_folder_without_rows_has_no_bars(spark, tmp_path):
     assert files.read_bar_files(spark, str(tmp_path)).isEmpty()
     (tmp_path / "a.csv").write_text("\n \n")
