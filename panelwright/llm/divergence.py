@@ -25,7 +25,7 @@ BETWEEN_TERMS = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 #: Shares are whole numbers, in parts of this.
 UNIT = 1_000_000_000
 #: Distinct counts that a task holds before it sends them on.
-HELD = 400_000
+HELD = 150_000
 #: Rows of merged counts in a shard, about.
 SHARD_ROWS = 100_000
 #: Cells of a shard that are compared at once.

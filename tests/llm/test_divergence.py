@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 
 from panelwright.llm import divergence
@@ -100,3 +101,19 @@ def test_awkward_rows(spark):
     rows = [(r[1], r[2], r[3]) for r in AWKWARD]
     assert result(awkward(spark), least_docs=1) == brute(rows, 1)
     assert source_divergence(empty(spark, DOCUMENTS)).isEmpty()
+
+
+def test_a_task_holds_few_counts_at_a_time():
+    def batches():
+        for k in range(30):
+            words = (f"w{chr(0xE9 + j // 676)}{chr(97 + j // 26 % 26)}{chr(97 + j % 26)}" for j in range(k * 30_000, (k + 1) * 30_000))
+            yield pa.RecordBatch.from_pydict({"text": [" ".join(words)], "lang": ["en"], "source": ["a source of some length"]})
+
+    plain = pa.default_memory_pool()
+    pool = pa.proxy_memory_pool(plain)
+    pa.set_memory_pool(pool)
+    try:
+        counted = sum(sum(batch["n"].to_pylist()) for batch in divergence._partial_counts(batches()))
+    finally:
+        pa.set_memory_pool(plain)
+    assert counted == 900_000 and pool.max_memory() < 30_000_000
